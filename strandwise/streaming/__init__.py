@@ -1,0 +1 @@
+"""Nothing here: the engine's inputs are finished files, so every plan is a batch plan."""
