@@ -55,6 +55,15 @@ def components(rows: DataFrame, pairs: DataFrame, id_col: str = "id") -> DataFra
     return rows.join(labels.withColumnRenamed("node", id_col), id_col, "left").withColumn("cluster", F.coalesce("label", id_col)).drop("label")
 
 
+def clusters(rows: DataFrame, keys: list[str], least: float, id_col: str = "id") -> DataFrame:
+    """``components`` over ``reciprocal_pairs``. Equal intervals overlap wholly, so
+    each distinct one is paired once, under its smallest id."""
+    place = [*keys, "s", "e"]
+    reps = written(rows.groupBy(*place).agg(F.min(id_col).alias(id_col)), f"{shared_dir(rows.sparkSession)}/places")
+    found = components(reps, reciprocal_pairs(reps, keys, least, id_col), id_col)
+    return rows.join(found.select(*place, "cluster"), place)
+
+
 def vote(rows: DataFrame, by: list[str], column: str, out: str, order: tuple[str, ...] = TIE_ORDER) -> DataFrame:
     """The most frequent value by group; ties by ``order``, then by code point.
     Also {out}_votes, its number of members."""
@@ -74,7 +83,7 @@ def consensus(rows: DataFrame, cfg: MergeConfig) -> DataFrame:
     twice, and class_agreement divides by members; n_samples are distinct.
     """
     keys = ["chrom"] if cfg.ignore_strand else ["chrom", "dominant_strand"]
-    member = components(rows, reciprocal_pairs(rows, keys, cfg.min_reciprocal_overlap))
+    member = clusters(rows, keys, cfg.min_reciprocal_overlap)
     member = written(member, f"{shared_dir(rows.sparkSession)}/members")
     mean = lambda c: F.round(F.avg(F.col(c).try_cast("double")), 4).alias(f"mean_{c}") if c in rows.columns else F.lit(None).cast("double").alias(f"mean_{c}")
     listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("id", c))), lambda x: x[c])

@@ -297,8 +297,7 @@ def reciprocal_pairs(spark, d):
 
 @query(f"with {_CLUSTERS} select id, cluster from mem")
 def consensus_clusters(spark, d):
-    rows = candidates(spark, d)
-    return consensus.components(rows, consensus.reciprocal_pairs(rows, ["chrom", "dominant_strand"], MERGE.min_reciprocal_overlap)).select("id", "cluster")
+    return consensus.clusters(candidates(spark, d), ["chrom", "dominant_strand"], MERGE.min_reciprocal_overlap).select("id", "cluster")
 
 
 _PRIO = "case class when 'likely_gDNA' then 0 when 'likely_multimapper_artifact' then 1 when 'possible_bidirectional_RNA' then 2 else 3 end"

@@ -373,6 +373,14 @@ def test_extract(spark, tmp_path):
     assert extract.run(spark, str(tmp_path / "g.fa"), str(tmp_path / "t.gtf"), str(tmp_path / "u.fa"), source="s") == 1
 
 
+def test_compressed_annotation(spark, tmp_path):
+    import gzip
+
+    for name in ("a.gtf.gz", "a.gtf.bgz"):
+        (tmp_path / name).write_bytes(gzip.compress(GTF.encode()))
+        assert [(r["ftype"], r["s"]) for r in text.annotation_lines(spark, str(tmp_path / name)).orderBy("ord").collect()] == [("gene", 1000), ("exon", 1000)]
+
+
 def test_gtf_rules(spark, tmp_path):
     (tmp_path / "a.gtf").write_text('# c\nc\ts\tgene\t1\t10\t.\t+\t.\tgene_id "g";\nc\ts\tgene\t5\tx\t.\t+\t.\tgene_id "h";\nshort\nc\ts\tgene\t21\t30\t.\t-\t.\tgene_id "g";\nc\ts\texon\t3\t4\t.\t.\t.\ttranscript_id "t";\nd\ts\texon\t9\t12\t.\t-\t.\ttranscript_id "t";\n')
     rows = text.annotation_lines(spark, str(tmp_path / "a.gtf"))
