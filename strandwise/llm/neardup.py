@@ -7,10 +7,19 @@ one band but for a probability of 3e-7. Whatever shares a band is a candidate
 and is confirmed on the full sets.
 
 Skew: equal sets collapse into one representative first, so copies are never
-paired. Within a band's bucket each member is paired with the bucket's smallest
-representative (a star: linear in the bucket). Pairs left over are those of one
-bucket whose ends still lie in different components; they are confirmed as
-well, so no candidate link is lost.
+paired. A band's bucket has a center, its member whose bands are the most
+common ones, and every other member is confirmed against it: linear in the
+bucket. What the center doesn't confirm (outsiders) can still link with other
+members of its buckets. Let D(x) be the symmetric difference of x and the
+center. Two members link only if their D share at least
+
+    k = (|D(u)| + |D(v)| - t (|u| + |v|)) / 2,  t = (100 - percent) / (100 + percent)
+
+shingles, and for an outsider k is over half of what the other one has. So both
+are looked up by a prefix of their D, its rarest shingles, of length |D| - k + 1
+by the least k possible for them: members that link share one of these. Pairs
+found so, from different components, are confirmed on the full sets. No pair
+that shares a band is lost, and no bucket is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -70,11 +79,16 @@ def _sets(batches, k: int):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.view(np.int64)))], ["id", "items"])
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= percent * union of full sets."""
+def _paired(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the full sets x of a and y of b."""
     left = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
     right = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
-    both = pairs.join(left, "b").join(right, "a").withColumn("i", F.size(F.array_intersect("x", "y")).cast("long"))
+    return pairs.join(left, "b").join(right, "a")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) with 100 * intersection >= percent * union of full sets."""
+    both = _paired(pairs, sets).withColumn("i", F.size(F.array_intersect("x", "y")).cast("long"))
     return both.filter(100 * F.col("i") >= percent * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b")
 
 
@@ -93,21 +107,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key = ["n", "d1", "d2"]
     classes = cut(sigs.filter("n > 0").groupBy(*key).agg(F.min("id").alias("rep"), F.first("bands").alias("bands")).filter("rep is not null"), f"{work}/classes")
     banded = classes.select("rep", F.col("n").alias("size"), F.posexplode("bands").alias("band", "value"))
-    shared = banded.groupBy("band", "value").agg(F.min("rep").alias("center"), F.count("*").alias("members")).filter("members > 1")
-    members = cut(banded.join(shared, ["band", "value"]), f"{work}/members")
-    ids = members.select("rep").distinct()
-    sets = texts.join(ids.withColumnRenamed("rep", "id"), "id", "left_semi").mapInArrow(lambda it: _sets(it, k), "id long, items array<long>").dropDuplicates(["id"])
+    buckets = banded.groupBy("band", "value").agg(F.count("*").alias("members")).filter("members > 1")
+    members = cut(banded.join(buckets, ["band", "value"]), f"{work}/members")
+    # How common a representative's bands are; the most central member leads its bucket.
+    common = members.groupBy("rep").agg(F.sum("members").alias("common"))
+    named = members.select("band", "value", "rep").join(common, "rep")
+    centers = named.groupBy("band", "value").agg(F.max_by("rep", F.struct("common", -F.col("rep"))).alias("center"))
+    star = cut(members.join(centers, ["band", "value"]).filter("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct(), f"{work}/star")
+    ids = members.select(F.col("rep").alias("id")).distinct()
+    sets = texts.join(ids, "id", "left_semi").mapInArrow(lambda it: _sets(it, k), "id long, items array<long>").dropDuplicates(["id"])
     sets = cut(sets, f"{work}/sets")
-    star = members.filter("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
-    links = cut(_confirmed(star, sets, percent), f"{work}/star")
+    measured = _paired(star, sets).select("a", "b", F.size("x").alias("n_a"), F.size("y").alias("n_b"), F.concat(F.array_except("x", "y"), F.array_except("y", "x")).alias("d"))
+    t = F.lit((100 - percent) / (100 + percent))
+    size = F.col("n_a") + F.col("n_b")
+    linked = (100 - percent) * size >= (100 + percent) * F.size("d")
+    measured = cut(measured.withColumn("linked", linked), f"{work}/measured")
+    links = measured.filter("linked").select("a", "b")
     labels = components(links, f"{work}/c1")
-    named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    mixed = named.groupBy("band", "value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-    rest = cut(named.join(mixed, ["band", "value"], "left_semi").select("band", "value", "rep", "size", "label"), f"{work}/rest")
-    other = rest.select("band", "value", F.col("rep").alias("b"), F.col("size").alias("size_b"), F.col("label").alias("label_b"))
-    sized = (100 * F.least("size", "size_b") >= percent * F.greatest("size", "size_b"))
-    cross = rest.join(other, ["band", "value"]).filter((F.col("rep") < F.col("b")) & (F.col("label") != F.col("label_b")) & sized)
-    cross = cross.select(F.col("rep").alias("a"), "b").distinct().join(star, ["a", "b"], "left_anti")
+    # Groups of a center with outsiders, and in each the shingles that differ from the center's, with their counts.
+    open_groups = measured.groupBy("a").agg(F.count("*").alias("m"), F.count_if(~F.col("linked")).alias("outside")).filter("m > 1 and outside > 0").select("a")
+    eps = 1e-9
+    least_out = F.greatest(F.lit(1), F.ceil((F.size("d") - t * size) / 2 - eps))
+    least_in = F.greatest(F.lit(1), F.ceil((F.size("d") - t * (F.col("n_b") - F.col("n_a"))) / 2 - eps))
+    differing = measured.join(open_groups, "a").withColumn("as_in", F.size("d") - least_in + 1).withColumn("as_out", F.size("d") - least_out + 1)
+    differing = differing.select("a", "b", "linked", "as_in", "as_out", F.explode("d").alias("item"))
+    counts = differing.groupBy("a", "item").agg(F.count("*").alias("df"))
+    ranked = differing.join(counts, ["a", "item"]).groupBy("a", "b", "linked", "as_in", "as_out").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("d"))
+    prefix = ranked.select("a", "b", "linked", "as_in", "as_out", F.posexplode("d").alias("place", "x")).filter("x.df > 1 and place < greatest(as_in, as_out)")
+    prefix = prefix.join(labels.withColumnRenamed("node", "b"), "b", "left").select("a", "b", "linked", F.coalesce("label", "b").alias("label"), "place", "as_in", "as_out", F.col("x.item").alias("item"))
+    prefix = cut(prefix, f"{work}/prefix")
+    inner = prefix.filter("place < as_in").select("a", "item", F.col("b").alias("v"), F.col("label").alias("label_v"))
+    outer = prefix.filter("not linked and place < as_out").select("a", "item", F.col("b").alias("u"), "label")
+    cross = outer.join(inner, ["a", "item"]).filter((F.col("u") != F.col("v")) & (F.col("label") != F.col("label_v")))
+    cross = cross.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
     more = cut(_confirmed(cross, sets, percent), f"{work}/cross")
     if more.limit(1).count():
         labels = components(links.unionByName(more), f"{work}/c2")

@@ -227,6 +227,21 @@ def test_op5_cross_component_links(spark):
     assert rows(neardup.near_duplicates(d), "doc_id", "n_shingles", "component_id", "kept") == brute_components(texts)
 
 
+def test_op5_hot_group(spark):
+    rng = np.random.default_rng(8)
+    base = [f"t{i}" for i in range(150)]
+    texts = []
+    for i in range(250):  # copies at many distances of one text: some link with it, some with each other alone
+        t = list(base)
+        for p in rng.integers(0, 150, rng.integers(0, 9)):
+            t[p] = f"e{p}_{rng.integers(0, 2)}"
+        texts.append((i, " ".join(t[rng.integers(0, 2) * 12 :]), None))
+    d = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    want = brute_components(texts)
+    assert len({w[2] for w in want}) > 3
+    assert rows(neardup.near_duplicates(d), "doc_id", "n_shingles", "component_id", "kept") == want
+
+
 def test_op6(spark, frame, docs):
     folder = shared_dir(spark)
     records.write_records(frame, folder, queries.vocabulary(), 2)
