@@ -17,9 +17,10 @@ center. Two members link only if their D share at least
 
 shingles, and for an outsider k is over half of what the other one has. So both
 are looked up by a prefix of their D, its rarest shingles, of length |D| - k + 1
-by the least k possible for them: members that link share one of these. Pairs
-found so, from different components, are confirmed on the full sets. No pair
-that shares a band is lost, and no bucket is expanded into all its pairs.
+by the least k possible for them: members that link share one of these, and
+behind the first they share both have room for k. Pairs found so, from different
+components, are confirmed on the full sets. No pair that shares a band is lost,
+and no bucket is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -130,15 +131,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least_out = F.greatest(F.lit(1), F.ceil((F.size("d") - t * size) / 2 - eps))
     least_in = F.greatest(F.lit(1), F.ceil((F.size("d") - t * (F.col("n_b") - F.col("n_a"))) / 2 - eps))
     differing = measured.join(open_groups, "a").withColumn("as_in", F.size("d") - least_in + 1).withColumn("as_out", F.size("d") - least_out + 1)
-    differing = differing.select("a", "b", "linked", "as_in", "as_out", F.explode("d").alias("item"))
+    differing = differing.select("a", "b", "n_b", "linked", "as_in", "as_out", F.explode("d").alias("item"))
     counts = differing.groupBy("a", "item").agg(F.count("*").alias("df"))
-    ranked = differing.join(counts, ["a", "item"]).groupBy("a", "b", "linked", "as_in", "as_out").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("d"))
-    prefix = ranked.select("a", "b", "linked", "as_in", "as_out", F.posexplode("d").alias("place", "x")).filter("x.df > 1 and place < greatest(as_in, as_out)")
-    prefix = prefix.join(labels.withColumnRenamed("node", "b"), "b", "left").select("a", "b", "linked", F.coalesce("label", "b").alias("label"), "place", "as_in", "as_out", F.col("x.item").alias("item"))
+    ranked = differing.join(counts, ["a", "item"]).groupBy("a", "b", "n_b", "linked", "as_in", "as_out").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("d"))
+    prefix = ranked.select("a", "b", "n_b", "linked", "as_in", "as_out", F.size("d").alias("n_d"), F.posexplode("d").alias("place", "x")).filter("x.df > 1 and place < greatest(as_in, as_out)")
+    prefix = prefix.join(labels.withColumnRenamed("node", "b"), "b", "left").select("a", "b", "n_b", "n_d", "linked", F.coalesce("label", "b").alias("label"), "place", "as_in", "as_out", F.col("x.item").alias("item"))
     prefix = cut(prefix, f"{work}/prefix")
-    inner = prefix.filter("place < as_in").select("a", "item", F.col("b").alias("v"), F.col("label").alias("label_v"))
-    outer = prefix.filter("not linked and place < as_out").select("a", "item", F.col("b").alias("u"), "label")
-    cross = outer.join(inner, ["a", "item"]).filter((F.col("u") != F.col("v")) & (F.col("label") != F.col("label_v")))
+    inner = prefix.filter("place < as_in").select("a", "item", F.col("b").alias("v"), F.col("label").alias("label_v"), F.col("n_b").alias("n_v"), F.col("n_d").alias("d_v"), F.col("place").alias("at_v"))
+    outer = prefix.filter("not linked and place < as_out").select("a", "item", F.col("b").alias("u"), "label", "n_b", "n_d", "place")
+    # Behind the first shingle that both share, each must have enough left to reach k.
+    need = (F.col("n_d") + F.col("d_v") - t * (F.col("n_b") + F.col("n_v"))) / 2 - eps
+    room = F.least(F.col("n_d") - F.col("place"), F.col("d_v") - F.col("at_v")) >= need
+    o, i = outer.alias("o"), inner.alias("i")
+    cross = o.join(i, (F.col("o.a") == F.col("i.a")) & (F.col("o.item") == F.col("i.item")) & (F.col("u") != F.col("v")) & (F.col("label") != F.col("label_v")) & room)
     cross = cross.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
     more = cut(_confirmed(cross, sets, percent), f"{work}/cross")
     if more.limit(1).count():
