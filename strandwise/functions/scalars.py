@@ -51,7 +51,7 @@ def normalise_chrom(name: Column) -> Column:
 
 def name_token(text: Column) -> Column:
     """Letters, digits, underscores and full stops; others become one underscore."""
-    clean = F.regexp_replace(F.regexp_replace(text, "[^A-Za-z0-9_.]+", "_"), "^[_.]+|[_.]+$", "")
+    clean = F.regexp_replace(F.regexp_replace(F.trim(text), "[^A-Za-z0-9_.]+", "_"), "^[_.]+|[_.]+$", "")
     return F.when(clean == "", "annotated").otherwise(F.coalesce(clean, F.lit("annotated")))
 
 

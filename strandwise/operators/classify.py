@@ -12,22 +12,24 @@ ARTIFACT, NOVEL, GDNA, BIDIRECTIONAL = "likely_multimapper_artifact", "likely_no
 
 def tests(cfg: DetectConfig) -> dict[str, Column]:
     c = F.col
-    shaped = (c("profile_correlation") >= cfg.gdna_min_correlation) | ((c("plus_cv") <= cfg.gdna_max_cv) & (c("minus_cv") <= cfg.gdna_max_cv))
+    flat = (c("plus_cv") <= cfg.gdna_max_cv) & (c("minus_cv") <= cfg.gdna_max_cv)
     return {
         "unique_reads_majority": c("unique_fraction") >= cfg.min_unique_fraction,
         "single_strand_dominant": c("dominant_strand_fraction") >= cfg.novel_min_dominant_strand_fraction,
-        "dual_strand": c("dual_strand_fraction") >= cfg.gdna_min_dual_strand_fraction,
-        "symmetric_lengths": c("strand_length_ratio_diff") <= cfg.gdna_max_length_ratio_diff,
-        "balanced_depth": c("pm_depth_ratio") >= cfg.gdna_min_depth_ratio,
-        "matching_pattern": shaped,
-        "broad": c("covered_fraction") >= cfg.gdna_min_covered_fraction,
+        "gdna_dual_strand": c("dual_strand_fraction") >= cfg.gdna_min_dual_strand_fraction,
+        "gdna_symmetric_length": c("strand_length_ratio_diff") <= cfg.gdna_max_length_ratio_diff,
+        "gdna_depth_balanced": c("pm_depth_ratio") >= cfg.gdna_min_depth_ratio,
+        "gdna_profile_correlated": c("profile_correlation") >= cfg.gdna_min_correlation,
+        "gdna_both_strands_flat": flat,
+        "gdna_pattern_consistent": (c("profile_correlation") >= cfg.gdna_min_correlation) | flat,
+        "gdna_broad_continuous": c("covered_fraction") >= cfg.gdna_min_covered_fraction,
     }
 
 
 def label(cfg: DetectConfig) -> Column:
     """Artifact first, then a dominant strand, then all gDNA tests, else both strands transcribed."""
     t = tests(cfg)
-    gdna = t["dual_strand"] & t["symmetric_lengths"] & t["balanced_depth"] & t["matching_pattern"] & t["broad"]
+    gdna = t["gdna_dual_strand"] & t["gdna_symmetric_length"] & t["gdna_depth_balanced"] & t["gdna_pattern_consistent"] & t["gdna_broad_continuous"]
     return F.when(~t["unique_reads_majority"], ARTIFACT).when(t["single_strand_dominant"], NOVEL).when(gdna, GDNA).otherwise(BIDIRECTIONAL)
 
 
@@ -41,14 +43,14 @@ def reason(cfg: DetectConfig) -> Column:
     t, c = tests(cfg), F.col
     failed = F.array_compact(
         F.array(
-            F.when(~t["dual_strand"], F.format_string("dual-strand fraction %.2f", c("dual_strand_fraction"))),
-            F.when(~t["symmetric_lengths"], F.format_string("strand length difference %.2f", c("strand_length_ratio_diff"))),
-            F.when(~t["balanced_depth"], F.format_string("depth ratio %.2f", c("pm_depth_ratio"))),
-            F.when(~t["matching_pattern"], F.format_string("profile correlation %.2f", c("profile_correlation"))),
-            F.when(~t["broad"], F.format_string("covered fraction %.2f", c("covered_fraction"))),
+            F.when(~t["gdna_dual_strand"], F.format_string("dual-strand fraction %.2f", c("dual_strand_fraction"))),
+            F.when(~t["gdna_symmetric_length"], F.format_string("strand length difference %.2f", c("strand_length_ratio_diff"))),
+            F.when(~t["gdna_depth_balanced"], F.format_string("depth ratio %.2f", c("pm_depth_ratio"))),
+            F.when(~t["gdna_pattern_consistent"], F.format_string("profile correlation %.2f", c("profile_correlation"))),
+            F.when(~t["gdna_broad_continuous"], F.format_string("covered fraction %.2f", c("covered_fraction"))),
         )
     )
-    gdna = t["dual_strand"] & t["symmetric_lengths"] & t["balanced_depth"] & t["matching_pattern"] & t["broad"]
+    gdna = t["gdna_dual_strand"] & t["gdna_symmetric_length"] & t["gdna_depth_balanced"] & t["gdna_pattern_consistent"] & t["gdna_broad_continuous"]
     return (
         F.when(~t["unique_reads_majority"], F.format_string("unique fraction %.2f is below the bound", c("unique_fraction")))
         .when(t["single_strand_dominant"], F.format_string("%.0f%% of coverage is on strand %s", c("dominant_strand_fraction") * 100, c("dominant_strand")))

@@ -14,7 +14,7 @@ from .classify import ARTIFACT, BIDIRECTIONAL, GDNA, NOVEL
 from .intervals import overlap_join
 
 #: Names of the classes in consensus tables, in the order in which ties are broken.
-RENAMED = {GDNA: "recurrent_gDNA", ARTIFACT: "recurrent_multimapper_artifact", BIDIRECTIONAL: "consensus_bidirectional_RNA", NOVEL: "consensus_novel_transcript"}
+RENAMED = {GDNA: "recurrent_gDNA", ARTIFACT: "recurrent_multimapper_artifact", BIDIRECTIONAL: "reproducible_bidirectional", NOVEL: "reproducible_novel"}
 TIE_ORDER = (GDNA, ARTIFACT, BIDIRECTIONAL, NOVEL)
 
 

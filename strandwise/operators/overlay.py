@@ -26,7 +26,8 @@ def overlaps(regions: DataFrame, features: DataFrame, stranded: bool = False, ke
 def annotated(regions: DataFrame, features: DataFrame, window: int = 10_000, stranded: bool = False, id_col: str = "consensus_id") -> DataFrame:
     """One row a region: id, the eight columns and types_map. Features that
     overlap, or else the nearest one closer than ``window`` (the bound itself is
-    too far; one that only touches has distance 0)."""
+    too far; one that only touches has distance 0). Without one nearest is NA, its
+    distance -1; with overlaps they are NA and 0."""
     rid = F.col(f"a_{id_col}").alias(id_col)
     hits = overlaps(regions, features, stranded, id_col=id_col)
     types = hits.groupBy(rid, F.col("b_ftype").alias("ftype")).agg(F.count("*").alias("c"))
@@ -42,7 +43,7 @@ def annotated(regions: DataFrame, features: DataFrame, window: int = 10_000, str
     d = gap(F.col("a__s"), F.col("a__e"), F.col("b_s"), F.col("b_e"))
     near = near.withColumn("d", d).groupBy(rid).agg(F.min_by(F.struct(shown(F.col("b_ftype"), F.col("b_fid")).alias("nearest"), F.col("d").alias("nearest_distance")), F.struct("d", "b_s", "b_e", "b_ord")).alias("x"))
     ids = F.filter(F.transform("f", lambda x: x["fid"]), lambda i: F.coalesce(i, F.lit("")) != "")
-    shown_ids = F.when(F.size(ids) > MAX_IDS, F.concat(F.array_join(F.slice(ids, 1, MAX_IDS), ","), F.lit(",+"), (F.size(ids) - MAX_IDS).cast("string"), F.lit("_more"))).otherwise(F.array_join(ids, ","))
+    shown_ids = F.when(F.size(ids) > MAX_IDS, F.concat(F.array_join(F.slice(ids, 1, MAX_IDS), ";"), F.lit(";+"), (F.size(ids) - MAX_IDS).cast("string"), F.lit("_more"))).otherwise(F.array_join(ids, ";"))
     genes = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.transform("f", lambda x: F.coalesce(x["genes"], F.array().cast("array<string>")))))), ",")
     full = regions.select(id_col, (F.col("e") - F.col("s")).alias("_len")).join(types, id_col, "left").join(lists, id_col, "left").join(bp, id_col, "left").join(near, id_col, "left")
     hit = F.col("n").isNotNull()
@@ -51,7 +52,7 @@ def annotated(regions: DataFrame, features: DataFrame, window: int = 10_000, str
     return full.select(
         id_col, F.coalesce("n", F.lit(0)).alias("n"), text(F.array_join(F.transform("t", lambda x: F.concat(x["ftype"], F.lit(":"), x["c"].cast("string"))), ",")).alias("types"), text(shown_ids).alias("ids"),
         F.coalesce("overlap_bp", F.lit(0)).alias("overlap_bp"), F.when(F.col("_len") > 0, F.coalesce("overlap_bp", F.lit(0)).cast("double") / F.col("_len")).otherwise(0.0).alias("overlap_frac"), text(genes).alias("genes"),
-        F.when(~hit, F.col("x.nearest")).alias("nearest"), F.when(~hit, F.col("x.nearest_distance")).otherwise(0).alias("nearest_distance"), F.transform(F.coalesce("t", F.array().cast("array<struct<ftype:string,c:bigint>>")), lambda x: x["ftype"]).alias("type_list"),
+        F.when(~hit & F.col("x").isNotNull(), F.col("x.nearest")).otherwise(none).alias("nearest"), F.when(hit, F.lit(0)).otherwise(F.coalesce("x.nearest_distance", F.lit(-1))).cast("long").alias("nearest_distance"), F.transform(F.coalesce("t", F.array().cast("array<struct<ftype:string,c:bigint>>")), lambda x: x["ftype"]).alias("type_list"),
     )
 
 

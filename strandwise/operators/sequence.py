@@ -26,7 +26,10 @@ def extract(transcripts: DataFrame, genome: DataFrame, tile: int) -> DataFrame:
     return out.filter("seq <> ''")
 
 
-def fasta_lines(transcripts: DataFrame, width: int = 60):
+def fasta_lines(transcripts: DataFrame, width: int = 60) -> DataFrame:
     """Records as text: a header of name and fields, then the wrapped sequence."""
-    header = F.concat(F.lit(">"), F.col("name"), F.lit(" "), F.col("chrom"), F.lit(":"), (F.array_min(F.transform("exons", lambda x: x["s"])) + 1).cast("string"), F.lit("-"), F.array_max(F.transform("exons", lambda x: x["e"])).cast("string"), F.lit("("), F.col("strand"), F.lit(") length="), F.length("seq").cast("string"))
-    return transcripts.select("name", F.concat(header, F.lit("\n"), wrap(F.col("seq"), width)).alias("value"))
+    attr = lambda k: F.coalesce(F.try_element_at("attrs", F.lit(k)), F.lit(""))
+    first, last = F.array_min(F.transform("exons", lambda x: x["s"])) + 1, F.element_at(F.array_sort("exons"), -1)["e"]
+    cls = F.when(attr("classification") != "", attr("classification")).otherwise(attr("consensus_class"))
+    text = ">%s gene_id=%s strand=%s loc=%s:%d-%d(%s) class=%s length=%d\n%s"
+    return transcripts.select("name", F.format_string(text, "name", attr("gene_id"), "strand", "chrom", first, last, "strand", cls, F.length("seq"), wrap(F.col("seq"), width)).alias("value"))

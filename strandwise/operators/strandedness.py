@@ -82,10 +82,10 @@ def gdna_qc(regions: DataFrame, total: DataFrame) -> DataFrame:
     s = lambda cond, what: F.coalesce(F.sum(F.when(cond, what)), F.lit(0))
     gdna, cov, ln = F.col("class") == "likely_gDNA", F.col("total_coverage"), F.col("length")
     every = F.lit(True)
-    sums = regions.agg(F.count_if(gdna).alias("n_gdna_regions"), F.count("*").alias("n_regions"), s(gdna, ln).alias("gdna_bases"), s(every, ln).alias("unannotated_bases"), s(gdna, cov).alias("gdna_coverage"), s(every, cov).alias("unannotated_coverage"))
+    sums = regions.agg(s(every, cov).alias("candidate_unique_coverage"), s(every, ln).alias("candidate_bases"), s(gdna, cov).alias("gDNA_unique_coverage"), s(gdna, ln).alias("gDNA_bases"), F.count_if(gdna).alias("n_gDNA_regions"))
     one = sums.crossJoin(total)  # a row each
-    pct = lambda a, b: F.when(b == 0, F.lit(0.0)).otherwise(100.0 * a / b)
+    pct = lambda a, b: F.when(F.col(b) > 0, 100.0 * F.col(a) / F.col(b)).otherwise(0.0)
     return one.select(
-        "n_regions", "n_gdna_regions", "unannotated_bases", "gdna_bases", "unannotated_coverage", "gdna_coverage", F.col("unique_total").alias("genome_coverage"),
-        pct(F.col("gdna_coverage"), F.col("unique_total")).alias("gdna_pct_of_genome"), pct(F.col("gdna_coverage"), F.col("unannotated_coverage")).alias("gdna_pct_of_unannotated"), pct(F.col("multi_total"), F.col("unique_total") + F.col("multi_total")).alias("multi_pct"),
+        F.col("unique_total").alias("genome_mapped_unique_coverage"), F.col("multi_total").alias("genome_mapped_multi_coverage"), *sums.columns,
+        pct("gDNA_unique_coverage", "unique_total").alias("pct_gDNA_of_mapped_coverage"), pct("gDNA_unique_coverage", "candidate_unique_coverage").alias("pct_gDNA_of_candidate_coverage"), pct("gDNA_bases", "candidate_bases").alias("pct_gDNA_of_candidate_bases"),
     )

@@ -88,22 +88,26 @@ def run(spark: SparkSession, cfg: DetectConfig) -> dict:
     rows = got["candidates"].withColumn("start", F.col("s") + 1).withColumn("end", F.col("e")).withColumn("kept_as_unknown_transcript", F.col("kept")).withColumn("reason_for_classification", F.col("reason")).withColumn("strand", F.col("dominant_strand"))
     sample = cfg.sample_name or os.path.basename(out)
     files = {"tsv": sinks.write_table(rows, sinks.CANDIDATE_COLUMNS, f"{out}.candidate_regions.tsv", order)}
-    new = sinks.gtf_rows(rows.filter("kept"), "unknown_transcript_name", "strandwise", [sinks.attribute("class", F.col("class")), sinks.attribute("region_id", F.col("region_id"))], order)
-    files["gtf"] = sinks.write_lines(new, f"{out}.unknown_transcripts.gtf", [*order, "kind"], ["# transcripts found outside the annotation"])
-    files["merged_gtf"] = sinks.write_merged(cfg.gtf, new, f"{out}.merged.gtf", [*order, "kind"], "# transcripts found outside the annotation")
+    new = sinks.gtf_rows(rows.filter("kept"), "unknown_transcript_name", "strandwise", [sinks.attribute("classification", F.col("class")), sinks.attribute("context", F.col("context_label")), sinks.attribute("original_region_id", F.col("region_id"))], order)
+    files["gtf"] = sinks.write_lines(new, f"{out}.unknown_transcripts.gtf", [*order, "kind"], ["##description: transcripts found outside the annotation"])
+    files["merged_gtf"] = sinks.write_merged(cfg.gtf, new, f"{out}.annotation_plus_unknowns.gtf", [*order, "kind"], "# transcripts found outside the annotation")
     if cfg.emit_bed:
         files["bed"] = sinks.write_lines(sinks.bed_rows(rows, order), f"{out}.candidate_regions.bed", order)
     if cfg.emit_bedgraph:
         for side in ("plus", "minus"):
-            files[f"bedgraph_{side}"] = sinks.write_lines(sinks.bedgraph_rows(rows, f"{side}_mean_depth", order), f"{out}.{side}.bedgraph", order)
+            files[f"bedgraph_{side}"] = sinks.write_lines(sinks.bedgraph_rows(rows, f"{side}_mean_depth", order), f"{out}.candidates.{side}.bedgraph", order, [f'track type=bedGraph name="candidates_{side}"'])
     assigned, qc = got["assignment"].first().asDict(), got["qc"].first().asDict()
     if cfg.emit_multiqc:
-        files["multiqc"] = sinks.write_multiqc(f"{out}.read_assignment_mqc.tsv", sample, assigned)
+        files["multiqc"] = sinks.write_multiqc(f"{out}.gdna_mqc.tsv", sample, assigned)
     if cfg.emit_coverage_store:
         files["store"] = f"{out}.coverage"
         coverage.store(store_segments(got["placed"], sizes, got["mask"], cfg, got["stranded"], sample), files["store"])
     classes = {r["class"]: r["n"] for r in rows.groupBy("class").agg(F.count("*").alias("n")).collect()}  # four classes
-    rescued = rows.filter("kept").agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-    summary = {"parameters": dataclasses.asdict(cfg), "strandedness": got["library"], "stranded_masking": got["stranded"], "class_counts": classes, "n_candidates": sum(classes.values()), "n_rescued": sum(n for c, n in classes.items() if c in (classify.NOVEL, classify.BIDIRECTIONAL)), "rescued_bases": rescued, "qc": {k: round(v, 4) if isinstance(v, float) else v for k, v in qc.items()}, "read_assignment": assigned, "reads": got["stats"].first().asDict()}
+    rescued = rows.filter("kept").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    summary = {
+        "run_parameters": dataclasses.asdict(cfg), "inferred_library_strandedness": got["library"]["library"], "strandedness_metrics": got["library"], "stranded_masking": got["stranded"], "n_candidate_regions": sum(classes.values()),
+        **{f"n_{c}": classes.get(c, 0) for c in (classify.GDNA, classify.BIDIRECTIONAL, classify.NOVEL, classify.ARTIFACT)}, "n_rescued_unknown_transcripts": rescued[0], "total_bases_in_rescued_unknown_transcripts": rescued[1],
+        "gdna_contamination_qc": {k: round(v, 4) if isinstance(v, float) else v for k, v in qc.items()}, "read_assignment_counts": assigned, "reads": got["stats"].first().asDict(),
+    }
     files["summary"] = sinks.write_json(f"{out}.summary.json", summary)
     return summary | {"files": files}

@@ -54,21 +54,21 @@ def run(spark: SparkSession, cfg: MergeConfig) -> dict:
     extra = [(f"{label}_{c}", 4 if c == "overlap_frac" else None) for label in sources for c in overlay.COLUMNS]
     passing = shown.filter("passes_min_samples")
     files = {"tsv": sinks.write_table(passing, (*sinks.CONSENSUS_COLUMNS, *extra), f"{out}.consensus_regions.tsv", ORDER)}
-    more = [sinks.attribute("consensus_class", F.col("consensus_class")), sinks.attribute("consensus_id", F.col("consensus_id")), sinks.attribute("n_samples", F.col("n_samples").cast("string"))]
+    more = [sinks.attribute("consensus_class", F.col("consensus_class")), sinks.attribute("n_samples", F.col("n_samples").cast("string")), sinks.attribute("samples", F.col("samples")), sinks.attribute("member_region_ids", F.col("member_region_ids"))]
     for label in sources:
-        for c in ("types", "ids", "genes"):
-            v = F.col(f"{label}_{c}")
+        for c in overlay.COLUMNS[:6]:
+            v = (sinks.python_round(F.col(f"{label}_{c}"), 4) if c == "overlap_frac" else F.col(f"{label}_{c}")).cast("string")
             more.append(F.when((F.col(f"{label}_n") > 0) & ~v.isin("", "NA"), sinks.attribute(f"{label}_{c}", v)))
     new = sinks.gtf_rows(shown.filter("in_consensus_gtf"), "consensus_transcript_name", "strandwise", more, ORDER)
-    files["gtf"] = sinks.write_lines(new, f"{out}.consensus.gtf", [*ORDER, "kind"], ["# consensus transcripts"])
+    files["gtf"] = sinks.write_lines(new, f"{out}.consensus_transcripts.gtf", [*ORDER, "kind"], ["##description: consensus transcripts"])
     if cfg.reference_gtf:
         files["merged_gtf"] = sinks.write_merged(cfg.reference_gtf, new, f"{out}.reference_plus_consensus.gtf", [*ORDER, "kind"], "# consensus transcripts")
     counts = {r["consensus_class"]: r["n"] for r in passing.groupBy("consensus_class").agg(F.count("*").alias("n")).collect()}  # four classes
-    whole = shown.agg(F.count("*").alias("n_clusters_total"), F.count_if("passes_min_samples").alias("n_passing"), F.count_if("in_consensus_gtf").alias("n_written_to_gtf")).first().asDict()
-    summary = {"parameters": dataclasses.asdict(cfg), **whole, "class_counts": counts}
+    whole = shown.agg(F.count("*").alias("n_clusters_total"), F.count_if("passes_min_samples").alias("n_clusters_passing_min_samples"), F.count_if("in_consensus_gtf").alias("n_written_to_consensus_gtf")).first().asDict()
+    summary = {"parameters": dataclasses.asdict(cfg) | {"n_samples_input": len(cfg.tsvs)}, **whole, **{f"n_{c}": counts.get(c, 0) for c in consensus.RENAMED.values()}}
     if long is not None:
         cross = overlay.crosstab(long.withColumnRenamed("cluster", "consensus_id"), passing.select(F.col("cluster").alias("consensus_id"), F.col("consensus_class").alias("class")))
-        summary["annotation"] = {"sources": [r.asDict() for r in overlay.source_stats(long).orderBy("label").collect()], "crosstab": [r.asDict() for r in cross.orderBy("label", "class", "ftype").collect()]}  # rows by label, class and type
+        summary["annotation"] = {"sources": [r.asDict() for r in overlay.source_stats(long).orderBy("label").collect()], "crosstab_passing": [r.asDict() for r in cross.orderBy("label", "class", "ftype").collect()]}  # rows by label, class and type
     files["summary"] = sinks.write_json(f"{out}.consensus_summary.json", summary)
     if cfg.emit_plots:
         files["plots"] = report.build(spark, cfg, g, rows, sources)

@@ -239,10 +239,11 @@ def read_assignment(spark, d):
     return strandedness.assignment(per, reads.read_stats(an))
 
 
-@query(f"""with {_CLASSED}, t as (select sum((e - s) * (plus + minus))::bigint u, sum((e - s) * multi)::bigint x from segs), q as (select count(*) n_regions, count(*) filter (class = 'likely_gDNA') n_gdna_regions, coalesce(sum(length), 0)::bigint unannotated_bases,
-  coalesce(sum(length) filter (class = 'likely_gDNA'), 0)::bigint gdna_bases, coalesce(sum(total_coverage), 0)::bigint unannotated_coverage, coalesce(sum(total_coverage) filter (class = 'likely_gDNA'), 0)::bigint gdna_coverage from cl)
-  select q.*, u genome_coverage, case when u = 0 then 0.0::double else 100.0::double * gdna_coverage / u end gdna_pct_of_genome, case when unannotated_coverage = 0 then 0.0::double else 100.0::double * gdna_coverage / unannotated_coverage end gdna_pct_of_unannotated,
-  case when u + x = 0 then 0.0::double else 100.0::double * x / (u + x) end multi_pct from q, t""")
+@query(f"""with {_CLASSED}, t as (select sum((e - s) * (plus + minus))::bigint genome_mapped_unique_coverage, sum((e - s) * multi)::bigint genome_mapped_multi_coverage from segs),
+  q as (select coalesce(sum(total_coverage), 0)::bigint candidate_unique_coverage, coalesce(sum(length), 0)::bigint candidate_bases, coalesce(sum(total_coverage) filter (class = 'likely_gDNA'), 0)::bigint gDNA_unique_coverage,
+  coalesce(sum(length) filter (class = 'likely_gDNA'), 0)::bigint gDNA_bases, count(*) filter (class = 'likely_gDNA') n_gDNA_regions from cl)
+  select t.*, q.*, case when genome_mapped_unique_coverage > 0 then 100.0::double * gDNA_unique_coverage / genome_mapped_unique_coverage else 0.0::double end pct_gDNA_of_mapped_coverage,
+  case when candidate_unique_coverage > 0 then 100.0::double * gDNA_unique_coverage / candidate_unique_coverage else 0.0::double end pct_gDNA_of_candidate_coverage, case when candidate_bases > 0 then 100.0::double * gDNA_bases / candidate_bases else 0.0::double end pct_gDNA_of_candidate_bases from q, t""")
 def gdna_qc(spark, d):
     return strandedness.gdna_qc(classed(spark, d), coverage.totals(_segs(spark, d)))
 
@@ -312,7 +313,7 @@ def class_vote(spark, d):
 
 _TABLE = f"""{_CLUSTERS}, {_VOTE}, cs as (select cluster, any_value(chrom) chrom, min(s) s, max(e) e, any_value(dominant_strand) strand, count(*) n_members, count(distinct sample)::int n_samples, string_agg(distinct sample, ',' order by sample) samples,
   string_agg(class, ',' order by id) member_classes, string_agg(region_id, ';' order by id) member_region_ids from mem group by cluster),
-  ct as (select *, votes / n_members class_agreement, case majority_class when 'likely_gDNA' then 'recurrent_gDNA' when 'likely_multimapper_artifact' then 'recurrent_multimapper_artifact' when 'possible_bidirectional_RNA' then 'consensus_bidirectional_RNA' else 'consensus_novel_transcript' end consensus_class,
+  ct as (select *, votes / n_members class_agreement, case majority_class when 'likely_gDNA' then 'recurrent_gDNA' when 'likely_multimapper_artifact' then 'recurrent_multimapper_artifact' when 'possible_bidirectional_RNA' then 'reproducible_bidirectional' else 'reproducible_novel' end consensus_class,
   n_samples >= 2 passes_min_samples, n_samples >= 2 and majority_class = 'likely_novel_transcript' in_consensus_gtf, chrom || ':' || s || '-' || e consensus_id from cs join vt using (cluster))"""
 _COLS = ["consensus_id", "chrom", "s", "e", "strand", "consensus_class", "majority_class", "class_agreement", "n_samples", "n_members", "passes_min_samples", "in_consensus_gtf"]
 
@@ -363,14 +364,14 @@ def overlay_stranded(spark, d):
 
 @query(f"""with {_REG}, {_HIT}, c as (select consensus_id, greatest(s, rs) s, least(e, re) e from hit), m as (select *, max(e) over (partition by consensus_id order by s, e rows between unbounded preceding and 1 preceding) pe from c), i as (select *, sum(case when s <= pe then 0 else 1 end) over (partition by consensus_id order by s, e rows between unbounded preceding and current row) i from m),
   bp as (select consensus_id, sum(e - s)::bigint bp from (select consensus_id, i, min(s) s, max(e) e from i group by all) group by 1), ty as (select consensus_id, string_agg(ftype || ':' || c, ',' order by ftype) types, sum(c)::bigint n from (select consensus_id, ftype, count(*) c from hit group by all) group by 1),
-  ids as (select consensus_id, string_agg(fid, ',' order by s, e, ord) ids, array_to_string(list_sort(list_distinct(flatten(list(genes)))), ',') genes from hit group by 1)
+  ids as (select consensus_id, string_agg(fid, ';' order by s, e, ord) ids, array_to_string(list_sort(list_distinct(flatten(list(genes)))), ',') genes from hit group by 1)
   select consensus_id, coalesce(n, 0) n, coalesce(types, 'NA') types, coalesce(ids, 'NA') ids, coalesce(bp, 0) overlap_bp, coalesce(bp, 0) / (e - s) overlap_frac, coalesce(genes, 'NA') genes from reg left join bp using (consensus_id) left join ty using (consensus_id) left join ids using (consensus_id)""")
 def overlay_strings(spark, d):
     return overlay.annotated(places(spark, d), features(spark, d)).select("consensus_id", "n", "types", "ids", "overlap_bp", "overlap_frac", "genes")
 
 
 @query(f"""with {_REG}, {_HIT}, nn as (select r.consensus_id, arg_min(ftype || ':' || fid, (greatest(f.s - r.e, r.s - f.e, 0), f.s, f.e, ord)) nearest, min(greatest(f.s - r.e, r.s - f.e, 0)) d from reg r join feat f on r.chrom_key = f.chrom_key and r.s - 400 < f.e and r.e + 400 > f.s where r.consensus_id not in (select consensus_id from hit) group by 1)
-  select consensus_id, nearest, case when consensus_id in (select consensus_id from hit) then 0 else d end nearest_distance from reg left join nn using (consensus_id)""")
+  select consensus_id, coalesce(nearest, 'NA') nearest, case when consensus_id in (select consensus_id from hit) then 0 else coalesce(d, -1) end nearest_distance from reg left join nn using (consensus_id)""")
 def overlay_nearest(spark, d):
     return overlay.annotated(places(spark, d), features(spark, d), window=400).select("consensus_id", "nearest", "nearest_distance")
 

@@ -18,6 +18,12 @@ BINS = 3500
 CHANNELS = [f"{k}_{s}" for k in ("unique", "dup", "multi") for s in ("plus", "minus")]
 
 
+def store_paths(cfg: MergeConfig) -> list[str]:
+    """Stores that detect wrote beside the tables, as far as they are there."""
+    beside = [re.sub(r"(\.candidate_regions)?\.tsv$", "", p) + ".coverage" for p in cfg.tsvs]
+    return [p for p in beside if os.path.exists(p)]
+
+
 def targets(g: DataFrame, cfg: MergeConfig) -> DataFrame:
     """Loci with a page: named consensus transcripts, or all that pass."""
     rows = g.filter("passes_min_samples") if cfg.plot_all_passing else g.filter("in_consensus_gtf and consensus_transcript_name is not null")
@@ -74,11 +80,11 @@ def _page(locus: dict, cover: list, top: int, features: list, evidence: list) ->
 
 def build(spark: SparkSession, cfg: MergeConfig, g: DataFrame, rows: DataFrame, sources: dict[str, DataFrame]) -> str:
     """Writes the pages and an index, locus by locus; returns the folder."""
-    folder = f"{cfg.out_prefix}.plots"
+    folder = f"{cfg.out_prefix}_plots"
     os.makedirs(folder, exist_ok=True)
     loci = targets(g, cfg)
     stores = None
-    for path in cfg.coverage_stores:
+    for path in cfg.coverage_stores or store_paths(cfg):
         one = spark.read.parquet(path).withColumn("chrom", F.col("chrom").cast("string")).withColumn("sample", F.col("sample").cast("string"))
         stores = one if stores is None else stores.unionByName(one)
     pooled = coverage_data(loci, stores) if stores is not None else None

@@ -94,9 +94,11 @@ def attribute(key: str, value: Column) -> Column:
 
 
 def gtf_rows(rows: DataFrame, name: str, source: str, extra: list[Column], order: list[str]) -> DataFrame:
-    """A transcript and an exon line for each row, with sort columns."""
+    """A transcript and an exon line for each row, with sort columns. Gene,
+    transcript and gene name are the same: the loci are intervals, not genes."""
     strand = F.when(F.col("strand").isin("+", "-"), F.col("strand")).otherwise(".")
-    attrs = F.concat_ws(" ", attribute("gene_id", F.col(name)), attribute("transcript_id", F.col(name)), *extra)
+    number = F.when(F.col("_kind.k") == 1, F.lit('exon_number "1";'))
+    attrs = F.concat_ws(" ", *[attribute(k, F.col(name)) for k in ("gene_id", "transcript_id", "gene_name")], attribute("source", F.lit(source)), *extra, number)
     both = rows.withColumn("_kind", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.lit("transcript").alias("v")), F.struct(F.lit(1).alias("k"), F.lit("exon").alias("v")))))
     line = F.concat_ws("\t", "chrom", F.lit(source), F.col("_kind.v"), (F.col("s") + 1).cast("string"), F.col("e").cast("string"), F.lit("."), strand, F.lit("."), attrs)
     return both.select(line.alias("value"), *order, F.col("_kind.k").alias("kind"))
@@ -117,7 +119,7 @@ def write_merged(reference: str, new: DataFrame, path: str, order: list[str], ma
 
 def bed_rows(rows: DataFrame, order: list[str]) -> DataFrame:
     score = F.least(F.lit(1000), F.bround("avg_depth").cast("long"))
-    return rows.select(F.concat_ws("\t", "chrom", F.col("s").cast("string"), F.col("e").cast("string"), "class", score.cast("string"), "dominant_strand").alias("value"), *order)
+    return rows.select(F.concat_ws("\t", "chrom", F.col("s").cast("string"), F.col("e").cast("string"), "class", score.cast("string"), F.when(F.col("dominant_strand").isin("+", "-"), F.col("dominant_strand")).otherwise(".")).alias("value"), *order)
 
 
 def bedgraph_rows(rows: DataFrame, column: str, order: list[str]) -> DataFrame:

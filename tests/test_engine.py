@@ -183,7 +183,7 @@ def test_qc(spark):
     regions = spark.createDataFrame([("likely_gDNA", 100, 750), ("likely_novel_transcript", 50, 250)], "class string, length long, total_coverage long")
     total = spark.createDataFrame([(10_000, 0)], "unique_total long, multi_total long")
     q = strandedness.gdna_qc(regions, total).first()
-    assert q["gdna_pct_of_genome"] == 7.5 and q["gdna_pct_of_unannotated"] == 75.0
+    assert q["pct_gDNA_of_mapped_coverage"] == 7.5 and q["pct_gDNA_of_candidate_coverage"] == 75.0
     per = spark.createDataFrame([("likely_gDNA", 7), ("likely_novel_transcript", 5)], "class string, n_reads long")
     stats = spark.createDataFrame([(20, 10, 3)], "unique_reads long, annotated_reads long, multi_reads long")
     a = strandedness.assignment(per, stats).first()
@@ -200,7 +200,7 @@ def test_consensus(spark):
     rows = [("A", "1", 100, 300, n, "+"), ("B", "1", 110, 310, n, "+"), ("C", "1", 90, 290, g, "+"), ("A", "1", 250, 450, n, "+"), ("A", "2", 0, 100, g, "-"), ("B", "2", 0, 100, n, "-"), ("A", "1", 100, 300, n, "-"), ("A", "MT", 5, 10, n, "+"), ("A", "MT", 5, 10, n, "+")]
     got = {(r["chrom"], r["s"], r["strand"]): r for r in consensus.numbered(consensus.consensus(cand(spark, rows), MergeConfig()), "in_consensus_gtf", ["chrom", "s", "e", "strand"], "t", "name").collect()}
     first = got["1", 90, "+"]
-    assert (first["e"], first["n_samples"], first["n_members"], first["consensus_class"], first["consensus_id"]) == (310, 3, 3, "consensus_novel_transcript", "1:90-310")
+    assert (first["e"], first["n_samples"], first["n_members"], first["consensus_class"], first["consensus_id"]) == (310, 3, 3, "reproducible_novel", "1:90-310")
     assert first["samples"] == ["A", "B", "C"] and abs(first["class_agreement"] - 2 / 3) < 1e-12 and first["member_region_ids"] == ["1:100-300", "1:110-310", "1:90-290"] and first["name"] == "t_1"
     tie = got["2", 0, "-"]
     assert tie["majority_class"] == g and tie["passes_min_samples"] and not tie["in_consensus_gtf"]
@@ -218,8 +218,8 @@ def test_overlay(spark):
     f = features(spark, [("1", 50, 150, "enhancer", "E1", "+", ["B", "A"]), ("1", 120, 160, "enhancer", "E2", "-", []), ("1", 190, 900, "CTCF_site", "C1", ".", ["A"]), ("1", 1110, 1120, "promoter", "", ".", None)])
     got = {r["consensus_id"]: r for r in overlay.annotated(regions, f, window=10).collect()}
     r = got["r1"]
-    assert (r["n"], r["types"], r["ids"], r["overlap_bp"], r["genes"], r["nearest_distance"]) == (3, "CTCF_site:1,enhancer:2", "E1,E2,C1", 70, "A,B", 0)
-    assert got["r2"]["n"] == 0 and got["r2"]["nearest"] is None  # exactly the window away
+    assert (r["n"], r["types"], r["ids"], r["overlap_bp"], r["genes"], r["nearest_distance"]) == (3, "CTCF_site:1,enhancer:2", "E1;E2;C1", 70, "A,B", 0)
+    assert got["r2"]["n"] == 0 and (got["r2"]["nearest"], got["r2"]["nearest_distance"]) == ("NA", -1)  # exactly the window away
     assert {r["consensus_id"]: (r["nearest"], r["nearest_distance"]) for r in overlay.annotated(regions, f, window=11).collect()}["r2"] == ("promoter", 10)
     touching = overlay.annotated(regions, features(spark, [("1", 200, 210, "x", "X", ".", [])]), window=5).filter("consensus_id = 'r1'").first()
     assert (touching["n"], touching["nearest"], touching["nearest_distance"]) == (0, "x:X", 0)
@@ -228,7 +228,7 @@ def test_overlay(spark):
     with pytest.raises(ValueError, match="shares no chromosome"):
         overlay.check_chromosomes(regions, features(spark, [("9", 0, 1, "x", "", ".", [])]), "L")
     many = features(spark, [("2", 0, 5, "t", f"i{k:02}", ".", []) for k in range(12)])
-    assert overlay.annotated(regions, many).filter("consensus_id = 'r3'").first()["ids"].endswith("i09,+2_more")
+    assert overlay.annotated(regions, many).filter("consensus_id = 'r3'").first()["ids"].endswith("i09;+2_more")
 
 
 def test_scalars(spark):
@@ -239,7 +239,7 @@ def test_scalars(spark):
 
 
 def test_labels():
-    assert text.derive_label("/x/homo.Regulatory_features.gff3.gz", set()) == "regulatory" and text.derive_label("regulatory.gff", {"regulatory"}) == "regulatory_2"
+    assert text.derive_label("/x/homo.Regulatory_features.gff3.gz", set()) == "regulatory" and text.derive_label("regulatory.gff", {"regulatory"}) == "regulatory2" and text.derive_label("hs.my-peaks.bed.gz", set()) == "my_peaks"
     assert text.sample_names(("a/s1.candidate_regions.tsv", "s2.tsv.gz")) == ["s1", "s2"]
     with pytest.raises(ValueError):
         text.sample_names(("a.tsv", "b/a.tsv"))
@@ -311,15 +311,15 @@ def test_detect_end_to_end(spark, tmp_path, kind):
     out = str(tmp_path / "out")
     assert cli.main(["detect", "--bam", str(tmp_path / f"x.{kind}"), "--gtf", str(tmp_path / "a.gtf"), "--out-prefix", out, "--emit-bedgraph", "--emit-coverage-store"]) == 0
     s = json.loads((tmp_path / "out.summary.json").read_text())
-    assert s["class_counts"] == {c: 1 for c in (classify.GDNA, classify.NOVEL, classify.BIDIRECTIONAL, classify.ARTIFACT)} and s["n_rescued"] == 2
-    assert s["strandedness"]["library"] == "forward" and s["strandedness"]["p_forward"] > 0.9
-    a = s["read_assignment"]
+    assert all(s[f"n_{c}"] == 1 for c in (classify.GDNA, classify.NOVEL, classify.BIDIRECTIONAL, classify.ARTIFACT)) and s["n_rescued_unknown_transcripts"] == 2
+    assert s["inferred_library_strandedness"] == "forward" and s["strandedness_metrics"]["p_forward"] > 0.9
+    a = s["read_assignment_counts"]
     assert sum(a.values()) == s["reads"]["unique_reads"] and a["annotated"] > 380
     rows = [x.split("\t") for x in (tmp_path / "out.candidate_regions.tsv").read_text().splitlines()]
     assert len(rows) == 5 and len(rows[0]) == 35 and rows[1][rows[0].index("class")] == classify.GDNA
     assert int(rows[1][2]) == int(rows[1][0].split(":")[1].split("-")[0]) + 1
-    assert (tmp_path / "out.merged.gtf").read_text().startswith(GTF) and (tmp_path / "out.read_assignment_mqc.tsv").read_text().count("#") == 9
-    assert len((tmp_path / "out.candidate_regions.bed").read_text().splitlines()) == 4 and (tmp_path / "out.plus.bedgraph").exists()
+    assert (tmp_path / "out.annotation_plus_unknowns.gtf").read_text().startswith(GTF) and (tmp_path / "out.gdna_mqc.tsv").read_text().count("#") == 9
+    assert len((tmp_path / "out.candidate_regions.bed").read_text().splitlines()) == 4 and (tmp_path / "out.candidates.plus.bedgraph").exists()
     store = spark.read.parquet(f"{out}.coverage")
     assert coverage.window(store, "chr_test", 6000, 8000).agg(F.sum((F.col("e") - F.col("s")) * F.col("unique_plus"))).first()[0] > 500 * 60
     assert store.filter("s < 3000 and e > 1000").agg(F.max("unique_plus")).first()[0] in (None, 0)
@@ -342,14 +342,14 @@ def test_merge_end_to_end(spark, tmp_path):
     rows = [dict(zip(x[0], r)) for x in [[y.split("\t") for y in (tmp_path / "m.consensus_regions.tsv").read_text().splitlines()]] for r in x[1:]]
     assert [r["chrom"] for r in rows] == ["1", "MT"] and rows[0]["consensus_transcript_name"] == "consensus_transcript_1-CTCF_binding_site" and rows[0]["start"] == "12701" and rows[0]["end"] == "13010"
     assert rows[0]["regulatory_types"] == "CTCF_binding_site:1,enhancer:1" and rows[0]["regulatory_genes"] == "G1,G2" and rows[1]["regulatory_n"] == "0" and rows[1]["consensus_transcript_name"] == "consensus_transcript_2"
-    gtf = (tmp_path / "m.consensus.gtf").read_text()
-    assert 'regulatory_ids "enh1,c1";' in gtf and "nearest" not in gtf and gtf.count("\texon\t") == 2
+    gtf = (tmp_path / "m.consensus_transcripts.gtf").read_text()
+    assert 'regulatory_ids "enh1;c1";' in gtf and "nearest" not in gtf and gtf.count("\texon\t") == 2
     assert (tmp_path / "m.reference_plus_consensus.gtf").read_text().startswith(GTF)
     s = json.loads((tmp_path / "m.consensus_summary.json").read_text())
-    assert s["n_clusters_total"] == 2 and s["n_written_to_gtf"] == 2 and s["annotation"]["sources"][0]["n_with_overlap"] == 1
-    assert (tmp_path / "m.plots" / "index.html").read_text().count("<li>") == 2
+    assert s["n_clusters_total"] == 2 and s["n_written_to_consensus_gtf"] == 2 and s["annotation"]["sources"][0]["n_with_overlap"] == 1
+    assert (tmp_path / "m_plots" / "index.html").read_text().count("<li>") == 2
     bare = merge.run(spark, MergeConfig(tsvs=tuple(args[2:4]), out_prefix=str(tmp_path / "n")))
-    assert bare["class_counts"] == s["class_counts"]
+    assert bare["n_reproducible_novel"] == s["n_reproducible_novel"] == 2
     assert cli.main(["merge", "--tsv", "/none.tsv", "--out-prefix", out]) == 1
 
 
@@ -359,7 +359,7 @@ def test_plots_use_stores(spark, tmp_path):
     names = "sample string, chrom string, s long, e long, " + ", ".join(f"{c} long" for c in ("unique_plus", "unique_minus", "dup_plus", "dup_minus", "multi_plus", "multi_minus"))
     coverage.store(spark.createDataFrame(rows, names), str(tmp_path / "store"))
     merge.run(spark, MergeConfig(tsvs=(str(tmp_path / "A.tsv"), str(tmp_path / "B.tsv")), out_prefix=str(tmp_path / "p"), emit_plots=True, coverage_stores=(str(tmp_path / "store"),)))
-    page = (tmp_path / "p.plots" / "consensus_transcript_1.html").read_text()
+    page = (tmp_path / "p_plots" / "consensus_transcript_1.html").read_text()
     assert all(f"<h2>{n}</h2>" in page for n in "ABC") and "<rect" in page and "clear" in page
 
 
@@ -369,7 +369,7 @@ def test_extract(spark, tmp_path):
     (tmp_path / "t.gtf").write_text('chr2\ts\texon\t1\t5\t.\t-\t.\ttranscript_id "t2";\nchr1\tu\texon\t21\t30\t.\t+\t.\ttranscript_id "t1";\nchr1\tu\texon\t1\t4\t.\t+\t.\ttranscript_id "t1";\nchr9\tu\texon\t1\t4\t.\t+\t.\ttranscript_id "t9";\n')
     assert extract.run(spark, str(tmp_path / "g.fa"), str(tmp_path / "t.gtf"), str(tmp_path / "o.fa"), width=8) == 2
     got = (tmp_path / "o.fa").read_text().split("\n")
-    assert got[0].startswith(">t2 chr2:1-5(-)") and got[1] == "GTAATC"[:0] + "TAATC" and got[2].startswith(">t1 chr1:1-30(+)") and "".join(got[3:5]) == "ACGT" + seq["chr1"][20:30]
+    assert got[0] == ">t2 gene_id= strand=- loc=chr2:1-5(-) class= length=5" and got[1] == "GTAATC"[:0] + "TAATC" and "loc=chr1:1-30(+)" in got[2] and "".join(got[3:5]) == "ACGT" + seq["chr1"][20:30]
     assert extract.run(spark, str(tmp_path / "g.fa"), str(tmp_path / "t.gtf"), str(tmp_path / "u.fa"), source="s") == 1
 
 
