@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, shared_dir
-from .textvec import SHAPES, U, word_hashes
+from .textvec import SHAPES, U, runs, word_hashes
 
 UNITS, CLASSES, SWEEPS, FREQUENT, FLUSH = 1024, 64, 5, 1 << 18, 2_000_000
 #: The end of a text as a word, and as a unit.
@@ -43,9 +43,9 @@ def _counted(batches):
     parts, size = [], 0
     for b in batches:
         texts = b.column(0).to_pylist()
-        for lo in range(0, len(texts), 2000):
+        for lo, hi in runs(texts):
             shapes: list = [np.zeros(0, np.int64)]
-            h, _ = word_hashes(texts[lo : lo + 2000], shapes)
+            h, _ = word_hashes(texts[lo:hi], shapes)
             parts += _merged([(h, np.concatenate(shapes), np.ones(len(h), np.int64))])
             size += len(parts[-1][0])
             if size > FLUSH:
@@ -81,9 +81,9 @@ def _bigrams(batches, top, size: int):
     total, keys = np.zeros(size * size, np.int64), top.value
     for b in batches:
         texts = b.column(0).to_pylist()
-        for lo in range(0, len(texts), 2000):
+        for lo, hi in runs(texts):
             shapes: list = [np.zeros(0, np.int64)]
-            h, at = word_hashes(texts[lo : lo + 2000], shapes)
+            h, at = word_hashes(texts[lo:hi], shapes)
             seq, _ = _with_ends(_units(h, np.concatenate(shapes), keys), at)
             prev = np.concatenate(([0], seq[:-1]))  # what stands before a text is an end
             total += np.bincount(prev * size + seq, minlength=size * size)
@@ -164,10 +164,9 @@ def _scored(batches, shared):
     logs = np.log10(counts + 0.1)
     for b in batches:
         texts = b.column(1).to_pylist()
-        for lo in range(0, len(texts), 2000):
-            part = slice(lo, lo + 2000)
+        for lo, hi in runs(texts):
             shapes: list = [np.zeros(0, np.int64)]
-            h, at = word_hashes(texts[part], shapes)
+            h, at = word_hashes(texts[lo:hi], shapes)
             n = len(at) - 1
             seq, first = _with_ends(_units(h, np.concatenate(shapes), top), at)
             cls = of[seq]

@@ -37,6 +37,15 @@ def cut(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a side goes to every executor: under 100 bytes a row, so 100 MB at most.
+BROADCAST_ROWS = 1_000_000
+
+
+def checked(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast only when the counted rows are within the bound; else Spark shuffles."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def ascii_lower(col):
     """Lower-cases A-Z only, as the contracts ask."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -15,11 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, shared_dir
-
-#: Rows up to which a side goes to every executor: under 100 bytes a row, so 100 MB at most.
-BROADCAST_ROWS = 1_000_000
-
+from .common import ascii_lower, checked, cut, shared_dir
 
 def words(text):
     return F.filter(F.split(ascii_lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
@@ -37,11 +33,6 @@ def _hashes(hw, k: int):
     return F.when(F.size(hw) >= k, many).when(F.size(hw) > 0, F.array(F.xxhash64(hw))).otherwise(F.array().cast("array<long>"))
 
 
-def _checked(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast only when the counted rows are within the bound; else Spark shuffles."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", k: int = 5, percent: int = 80) -> DataFrame:
     """One row for every document and item with containment of ``percent`` or
     more: id, item_id, n_item (its distinct shingles), n_shared, containment.
@@ -63,12 +54,12 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     exact = cut(exact, f"{work}/exact")
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("t"))
     found = texts.select("doc", F.transform(words(F.col("t")), lambda w: F.xxhash64(w)).alias("hw"))
-    found = found.select("doc", F.explode(_hashes(F.col("hw"), k)).alias("h")).join(_checked(sketch, sketch.count()), "h")
+    found = found.select("doc", F.explode(_hashes(F.col("hw"), k)).alias("h")).join(checked(sketch, sketch.count()), "h")
     found = found.distinct().groupBy("doc", "item").agg(F.sum("weight").alias("hits"), F.first("perms").alias("perms"))
     found = cut(found.filter("10 * hits >= 3 * perms").select("doc", "item"), f"{work}/found")
     near = texts.join(found.select("doc").distinct(), "doc", "left_semi").select("doc", words(F.col("t")).alias("ws"))
     near = near.select("doc", F.explode(_shingles(F.col("ws"), k)).alias("s"))
-    both = near.join(_checked(exact, exact.count()), "s").distinct().groupBy("doc", "item").agg(F.count("*").alias("n_shared"))
+    both = near.join(checked(exact, exact.count()), "s").distinct().groupBy("doc", "item").agg(F.count("*").alias("n_shared"))
     both = both.join(found, ["doc", "item"], "left_semi")
     sized = exact.groupBy("item").agg(F.count("*").alias("n_item"))
     out = both.join(sized, "item").filter(f"100 * n_shared >= {percent} * n_item")

@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, shared_dir
-from .textvec import U, shingle_sets, splitmix
+from .common import checked, components, cut, shared_dir
+from .textvec import U, runs, shingle_sets, splitmix
 
 PERMUTATIONS, ROWS = 24, 3
 
@@ -58,8 +58,14 @@ def min_max_bands(values: np.ndarray, at: np.ndarray, permutations: int = PERMUT
     return out
 
 
-def _signatures(batches, k: int):
+def _small(batches):
     for b in batches:
+        for lo, hi in runs(b.column(1).to_pylist()):
+            yield b.slice(lo, hi - lo)
+
+
+def _signatures(batches, k: int):
+    for b in _small(batches):
         values, at = shingle_sets(b.column(1).to_pylist(), k)
         bands = min_max_bands(values, at).view(np.int64)
         n = np.diff(at)
@@ -75,7 +81,7 @@ def _signatures(batches, k: int):
 
 
 def _sets(batches, k: int):
-    for b in batches:
+    for b in _small(batches):
         values, at = shingle_sets(b.column(1).to_pylist(), k)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.view(np.int64)))], ["id", "items"])
 
@@ -115,8 +121,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = members.select("band", "value", "rep").join(common, "rep")
     centers = named.groupBy("band", "value").agg(F.max_by("rep", F.struct("common", -F.col("rep"))).alias("center"))
     star = cut(members.join(centers, ["band", "value"]).filter("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct(), f"{work}/star")
-    ids = members.select(F.col("rep").alias("id")).distinct()
-    sets = texts.join(ids, "id", "left_semi").mapInArrow(lambda it: _sets(it, k), "id long, items array<long>").dropDuplicates(["id"])
+    ids = cut(members.select(F.col("rep").alias("id")).distinct(), f"{work}/ids")
+    sets = texts.join(checked(ids, ids.count()), "id", "left_semi").mapInArrow(lambda it: _sets(it, k), "id long, items array<long>").dropDuplicates(["id"])
     sets = cut(sets, f"{work}/sets")
     measured = _paired(star, sets).select("a", "b", F.size("x").alias("n_a"), F.size("y").alias("n_b"), F.concat(F.array_except("x", "y"), F.array_except("y", "x")).alias("d"))
     t = F.lit((100 - percent) / (100 + percent))

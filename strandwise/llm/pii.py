@@ -24,8 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, shared_dir
-from .decontam import _checked
+from .common import ascii_lower, checked, cut, shared_dir
 
 KINDS = ("email", "ip", "card", "phone")
 #: U+E000 stands for a dot that no label follows; texts' own U+E000 become U+E001 first.
@@ -142,7 +141,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = cut(pairs, f"{work}/pairs")
     known = cut(pairs.select("term").distinct(), f"{work}/known")
     seen = texts.select("doc", F.explode(F.split(ascii_lower(F.col("t")), gap)).alias("term"))
-    seen = seen.join(_checked(known, known.count()), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("df"))
+    seen = seen.join(checked(known, known.count()), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("df"))
     of_kind = base.select("doc", F.explode("base").alias("s")).select("doc", F.explode(F.array(F.col("s.kind"), F.concat_ws(":", F.col("s.kind"), F.lower("s.value")))).alias("entity"))
     of_kind = of_kind.distinct().groupBy("entity").agg(F.count("*").alias("de"))
     total = base.select(F.count("*").alias("all"))

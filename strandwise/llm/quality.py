@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textvec import U, mix, word_hashes
+from .textvec import U, mix, runs, word_hashes
 
 DIMS_LOG2, MAX_ROWS, BINS = 20, 12_000, 24
 _KIND = np.zeros(256, np.int64)  # 0 other, 1 lower, 2 upper, 3 sign, 4 digit
@@ -38,6 +38,10 @@ def _shares(text: bytes, h: np.ndarray) -> np.ndarray:
 
 
 def features(texts: list[bytes | None]) -> list[np.ndarray]:
+    return [f for lo, hi in runs(texts) for f in _features(texts[lo:hi])]
+
+
+def _features(texts: list[bytes | None]) -> list[np.ndarray]:
     h, at = word_hashes(texts)
     w, w_at = word_hashes(texts, space=_APART)
     out = []

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir
-from .decontam import _checked
+from .common import checked, cut, shared_dir
+
 from .textvec import PIECE, U, mix, splitmix
 from .textvec import _INV, _BASE
 
@@ -339,7 +339,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ids = cut(rows.filter(F.length("t") >= LENGTH).select("id", "text"), f"{work}/ids")
     copied = cut(ids.groupBy("text").agg(F.count("*").alias("copies"), F.min("id").alias("id")).filter("copies > 1"), f"{work}/copied")
     others = cut(ids.join(copied.select("text", F.col("id").alias("stays")), "text").filter("id <> stays").select("id").distinct(), f"{work}/others")
-    alone = rows.filter(F.length("t") >= LENGTH).join(_checked(others, others.count()), "id", "left_anti")
+    alone = rows.filter(F.length("t") >= LENGTH).join(checked(others, others.count()), "id", "left_anti")
     dealt = alone.select("text", "t").mapInArrow(_dealt, "class long, whole long, text long, lo long, n int")
     dealt = dealt.repartition("class").sortWithinPartitions("class", "whole", "text", "lo")
     segs = cut(dealt.mapInArrow(_classes, "class long, text long, lo long, n int, multi boolean, sorts boolean"), f"{work}/segs")

@@ -122,6 +122,19 @@ def word_hashes(texts: list[bytes | None], shapes: list | None = None, space: np
     return np.concatenate(hashes), np.cumsum(counts)
 
 
+def runs(texts: list[bytes | None], size: int = 2 * PIECE) -> Iterator[tuple[int, int]]:
+    """(begin, end) of runs of texts with about ``size`` bytes, one text at least:
+    what numpy holds at once follows the run, not the Arrow batch."""
+    begin = held = 0
+    for i, t in enumerate(texts):
+        held += len(t or b"")
+        if held >= size:
+            yield begin, i + 1
+            begin, held = i + 1, 0
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
 _SH = [U(x) for x in splitmix(8, 99) | U(1)]
 
 
