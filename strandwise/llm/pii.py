@@ -140,8 +140,9 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = terms.select("doc", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("co")).filter(F.col("co") >= support)
     pairs = cut(pairs, f"{work}/pairs")
     known = cut(pairs.select("term").distinct(), f"{work}/known")
-    seen = texts.select("doc", F.explode(F.split(ascii_lower(F.col("t")), gap)).alias("term"))
-    seen = seen.join(checked(known, known.count()), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("df"))
+    # A text's words once each, so that counts combine where they are read.
+    seen = texts.select(F.explode(F.array_distinct(F.split(ascii_lower(F.col("t")), gap))).alias("term"))
+    seen = seen.join(checked(known, known.count()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     of_kind = base.select("doc", F.explode("base").alias("s")).select("doc", F.explode(F.array(F.col("s.kind"), F.concat_ws(":", F.col("s.kind"), F.lower("s.value")))).alias("entity"))
     of_kind = of_kind.distinct().groupBy("entity").agg(F.count("*").alias("de"))
     total = base.select(F.count("*").alias("all"))
