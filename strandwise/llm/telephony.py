@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textvec import runs
+
 RATE = 8000
 MULAW, ALAW, ADPCM = 7, 6, 17
 NAMES = {MULAW: "mulaw", ALAW: "alaw", ADPCM: "ima_adpcm"}
@@ -96,11 +98,6 @@ def unriff(media: bytes) -> tuple[int, int, bytes]:
     raise ValueError("no data chunk")
 
 
-def decode(codec: int, block: int, payload: bytes) -> np.ndarray:
-    data = np.frombuffer(payload, np.uint8)
-    return decode_adpcm(data, block) if codec == ADPCM else TABLES[codec][data]
-
-
 def resample(pcm: np.ndarray) -> np.ndarray:
     """Twice the rate, by means of neighbours; the last sample is held."""
     out = np.empty(2 * len(pcm), np.int16)
@@ -133,20 +130,39 @@ def features(pcm: np.ndarray) -> str:
     return f"n={len(x)};rms={rms:.3f};cross={cross};peak={int(np.abs(x).max(initial=0))};crc={zlib.crc32(pcm.astype('<i2').tobytes())}"
 
 
+def decode_all(files: list[tuple[int, int, bytes]]) -> list[np.ndarray]:
+    """16-bit samples of each (codec, block size, payload); ADPCM blocks of all
+    files with one block size are decoded together."""
+    out: list = [None if codec == ADPCM else TABLES[codec][np.frombuffer(payload, np.uint8)] for codec, _, payload in files]
+    for block in {b for codec, b, _ in files if codec == ADPCM}:
+        own = [i for i, f in enumerate(files) if f[:2] == (ADPCM, block)]
+        ends = np.cumsum([len(files[i][2]) // block * (2 * (block - 4) + 1) for i in own])
+        pcm = decode_adpcm(np.frombuffer(b"".join(files[i][2] for i in own), np.uint8), block)
+        for i, part in zip(own, np.split(pcm, ends[:-1])):
+            out[i] = part
+    return out
+
+
 def _load(batches, with_pcm: bool):
-    for b in batches:
-        cols: list[list] = [[], [], [], [], [], [], []]
-        for media in b.column(2).to_pylist():
-            codec, block, payload = unriff(media)
-            pcm = resample(decode(codec, block, payload))
-            row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), f"{NAMES[codec]};rate={2 * RATE};{features(pcm)}", pcm.astype("<i2").tobytes() if with_pcm else None)
-            for c, v in zip(cols, row):
-                c.append(v)
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
-        names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm"]
-        arrays = [b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds))]
-        keep = len(names) if with_pcm else -1
-        yield pa.RecordBatch.from_arrays(arrays[:keep], names[:keep])
+    for whole in batches:
+        for lo, hi in runs(whole.column(2).to_pylist()):
+            yield _loaded(whole.slice(lo, hi - lo), with_pcm)
+
+
+def _loaded(b, with_pcm: bool):
+    cols: list[list] = [[], [], [], [], [], [], []]
+    media = b.column(2).to_pylist()
+    files = [unriff(m) for m in media]
+    for m, (codec, _, payload), raw in zip(media, files, decode_all(files)):
+        pcm = resample(raw)
+        row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(m), hashlib.sha256(m).hexdigest(), f"{NAMES[codec]};rate={2 * RATE};{features(pcm)}", pcm.astype("<i2").tobytes() if with_pcm else None)
+        for c, v in zip(cols, row):
+            c.append(v)
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
+    names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm"]
+    arrays = [b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds))]
+    keep = len(names) if with_pcm else -1
+    return pa.RecordBatch.from_arrays(arrays[:keep], names[:keep])
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
