@@ -5,7 +5,9 @@ hashed 32-gram in it, leftmost on ties. Equal windows have equal minimizers at
 equal places, so they meet in one class, and a document's windows fall into
 segments of consecutive windows with one minimizer occurrence. Segments travel
 as hashes first; only classes with two segments that aren't equal throughout
-need bytes. Segments that are equal throughout repeat as a whole.
+need bytes. Segments that are equal throughout repeat as a whole. Classes of
+very many different segments are dealt by ranges of the windows' offsets from
+the minimizer, equal windows again meeting.
 
 Suffix sorting: the bytes of a run of classes form one string. The difference
 cover {1, 2} mod 3 is sorted by triples, named, and sorted recursively on the
@@ -27,13 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checked, cut, shared_dir
-
 from .textvec import PIECE, U, mix, splitmix
 from .textvec import _INV, _BASE
 
 LENGTH, GRAM = 200, 32
 #: Bytes of segments that one suffix sort takes; a larger class is cut by the windows' places in it.
 SORT_BYTES = 2 << 20
+#: Classes of more different segments than this are dealt by ranges of so many offsets.
+LARGE, RANGE = 1000, 8
 _BYTE = splitmix(256, 31)
 
 
@@ -138,18 +141,19 @@ def segments(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, gram: i
 
 
 def _dealt(batches):
+    """Segments of each batch of texts. Of those that are equal throughout only
+    one goes on, marked as met again; the others are spans already (class null)."""
     for b in batches:
         keys, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
-        run, size = [], 0  # (text's index, offset in the text, bytes)
+        run, size, parts = [], 0, []  # (text's index, offset in the text, bytes)
 
-        def flush(run=run):
+        def flush():
             data = np.frombuffer(b"".join(p for _, _, p in run), np.uint8)
             starts = np.concatenate(([0], np.cumsum([len(p) for _, _, p in run])))
             first, count, least, whole = segments(data, starts)
             of = np.searchsorted(starts, first, side="right") - 1
             lo = first - starts[of] + np.array([o for _, o, _ in run], np.int64)[of]
-            text = np.array([i for i, _, _ in run], np.int64)[of]
-            return pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(keys[text]), pa.array(lo), pa.array(count.astype(np.int32))], ["class", "whole", "text", "lo", "n"])
+            parts.append((least.view(np.int64), whole.view(np.int64), keys[np.array([i for i, _, _ in run], np.int64)[of]], lo, count.astype(np.int32)))
 
         for i, t in enumerate(texts):
             t = t or b""
@@ -157,17 +161,26 @@ def _dealt(batches):
                 run.append((i, at, t[at : at + PIECE + LENGTH - 1]))
                 size += len(run[-1][2])
                 if size >= PIECE:
-                    yield flush()
-                    run.clear()
-                    size = 0
+                    flush()
+                    run, size = [], 0
         if run:
-            yield flush()
+            flush()
+        if not parts:
+            continue
+        cls, whole, text, lo, n = (np.concatenate(c) for c in zip(*parts))
+        order = np.lexsort((whole, cls))
+        cls, whole, text, lo, n = cls[order], whole[order], text[order], lo[order], n[order]
+        new = np.ones(len(cls), bool)
+        new[1:] = (cls[1:] != cls[:-1]) | (whole[1:] != whole[:-1])
+        again = np.zeros(len(cls), bool)
+        again[:-1] = ~new[1:]
+        yield pa.RecordBatch.from_arrays([pa.array(cls, mask=~new), pa.array(whole, mask=~new), pa.array(text), pa.array(lo), pa.array(n), pa.array(again & new)], ["class", "whole", "text", "lo", "n", "again"])
 
 
 def _classes(batches):
     """Sorted by class, whole, text, lo: drops repeated rows and classes of one
     segment; marks whether the segment repeats as a whole, whether it stands for
-    its equals, and whether its class has others."""
+    its equals in a class of several kinds, and whether these are very many."""
     held = None
 
     def marked(t):
@@ -180,11 +193,12 @@ def _classes(batches):
         new_c[1:] = c[1:] != c[:-1]
         new_w = new_c.copy()
         new_w[1:] |= w[1:] != w[:-1]
-        size_w = np.diff(np.append(np.flatnonzero(new_w), len(c)))[np.cumsum(new_w) - 1]
+        met = np.add.reduceat(t.column(5).to_numpy(zero_copy_only=False).astype(np.int64), np.flatnonzero(new_w))
+        size_w = (np.diff(np.append(np.flatnonzero(new_w), len(c))) + met)[np.cumsum(new_w) - 1]
         kinds = np.add.reduceat(new_w.astype(np.int64), np.flatnonzero(new_c))[np.cumsum(new_c) - 1]
         multi, differs = size_w > 1, kinds > 1
         keep = multi | differs
-        full = pa.RecordBatch.from_arrays([*(t.column(k) for k in (0, 2, 3, 4)), pa.array(multi), pa.array(new_w & differs)], ["class", "text", "lo", "n", "multi", "sorts"])
+        full = pa.RecordBatch.from_arrays([*(t.column(k) for k in (0, 2, 3, 4)), pa.array(multi), pa.array(new_w & differs), pa.array(kinds > LARGE)], ["class", "text", "lo", "n", "multi", "sorts", "large"])
         return full.filter(pa.array(keep))
 
     for b in batches:
@@ -199,12 +213,24 @@ def _classes(batches):
 
 
 def _bytes(batches):
+    """Segments with their bytes under a key for the sort: their class, or in
+    large classes their class and a range of offsets from the minimizer, for
+    equal windows have equal offsets."""
     for b in batches:
         out: list[list] = [[], [], [], [], []]
         for key, text, segs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
             for s in segs:
-                for c, v in zip(out, (s["class"], key, s["lo"], s["multi"], text[s["lo"] : s["lo"] + s["n"] + LENGTH - 1])):
-                    c.append(v)
+                seg = text[s["lo"] : s["lo"] + s["n"] + LENGTH - 1]
+                parts = [(0, 0, s["n"])]
+                if s["large"]:
+                    at = _minimizer(np.frombuffer(seg, np.uint8))
+                    # The window at i stands at - i before the minimizer.
+                    parts = [(1 + d // RANGE, max(0, at - d - RANGE + 1), min(s["n"], at - d + 1)) for d in range(0, at + 1, RANGE)]
+                for part, first, end in parts:
+                    if first < end:
+                        dealt = (s["class"] + part * 0x9E3779B97F4A7C15 + (1 << 63)) % (1 << 64) - (1 << 63)
+                        for c, v in zip(out, (dealt, key, s["lo"] + first, s["multi"], seg[first : end + LENGTH - 1])):
+                            c.append(v)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["class", "text", "lo", "multi", "seg"])
 
@@ -340,14 +366,17 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copied = cut(ids.groupBy("text").agg(F.count("*").alias("copies"), F.min("id").alias("id")).filter("copies > 1"), f"{work}/copied")
     others = cut(ids.join(copied.select("text", F.col("id").alias("stays")), "text").filter("id <> stays").select("id").distinct(), f"{work}/others")
     alone = rows.filter(F.length("t") >= LENGTH).join(checked(others, others.count()), "id", "left_anti")
-    dealt = alone.select("text", "t").mapInArrow(_dealt, "class long, whole long, text long, lo long, n int")
-    dealt = dealt.repartition("class").sortWithinPartitions("class", "whole", "text", "lo")
-    segs = cut(dealt.mapInArrow(_classes, "class long, text long, lo long, n int, multi boolean, sorts boolean"), f"{work}/segs")
-    wanted = segs.filter("sorts").groupBy("text").agg(F.collect_list(F.struct("class", "lo", "n", "multi")).alias("segs"))
+    dealt = cut(alone.select("text", "t").mapInArrow(_dealt, "class long, whole long, text long, lo long, n int, again boolean"), f"{work}/dealt")
+    met = dealt.filter("class is null")
+    apart = dealt.filter("class is not null").repartition("class").sortWithinPartitions("class", "whole", "text", "lo")
+    segs = cut(apart.mapInArrow(_classes, "class long, text long, lo long, n int, multi boolean, sorts boolean, large boolean"), f"{work}/segs")
+    whole = segs.filter("multi").select("text", "lo", "n").unionByName(met.select("text", "lo", "n"))
+    whole = whole.select("text", F.col("lo").alias("begin"), (F.col("lo") + F.col("n") + LENGTH - 1).alias("end"))
+    wanted = segs.filter("sorts")
+    wanted = wanted.groupBy("text").agg(F.collect_list(F.struct("class", "lo", "n", "multi", "large")).alias("segs"))
     fetched = alone.select("text", "t").join(wanted, "text").mapInArrow(_bytes, "class long, text long, lo long, multi boolean, seg binary")
     fetched = fetched.repartition("class").sortWithinPartitions("class")
     found = fetched.mapInArrow(_sort_classes, "text long, begin long, end long")
-    whole = segs.filter("multi").select("text", F.col("lo").alias("begin"), (F.col("lo") + F.col("n") + LENGTH - 1).alias("end"))
     spans = whole.unionByName(found).groupBy("text").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
     spans = cut(spans.join(copied.select("text", F.lit(True).alias("copied")), "text", "full").select("text", F.coalesce("copied", F.lit(False)).alias("copied"), F.when(F.col("copied").isNull(), F.col("spans")).alias("spans")), f"{work}/spans")
     schema = f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<begin:long,end:long>>"

@@ -80,6 +80,16 @@ def test_op1(frame, docs):
     assert got == sorted(((d[0], *b) for d, b in zip(docs, brute_removed([d[1] for d in docs]))), key=repr)
 
 
+def test_op1_many_kinds(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    word = lambda n: "".join(chr(97 + i) for i in rng.integers(0, 26, n))
+    core = word(420)
+    texts = [(i, word(200) + core[: rng.integers(150, 421)] + word(200) + core[rng.integers(0, 230) :] + word(90), None) for i in range(80)]
+    monkeypatch.setattr(suffix, "LARGE", 3)
+    d = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    assert rows(suffix.repeated_spans(d), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(((t[0], *b) for t, b in zip(texts, brute_removed([t[1] for t in texts]))), key=repr)
+
+
 def test_op1_large_class(spark, monkeypatch):
     rng = np.random.default_rng(1)
     core = "".join(chr(97 + i) for i in rng.integers(0, 26, 260))
