@@ -22,7 +22,7 @@ from .common import WORD, cut, shared_dir
 #: frac(golden ratio) as a 62-bit fraction.
 PHI = 2850126214211066189
 ONE = 1 << 62
-BUCKET_DOCS, RUN = 4096, 4096
+BUCKET_DOCS, RUN = 512, 4096
 
 
 def targets(sizes: DataFrame, max_times: int = 3) -> DataFrame:
@@ -120,7 +120,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     turns = turns.withColumn("hi", F.col("lo") + F.col("size"))
     turns = turns.withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / block), F.least(F.floor((F.col("hi") - 1) / block), F.col("last")))))
     pieces = turns.select("id", "source", "block", "turn", (F.greatest("lo", F.col("block") * block) - F.col("lo")).alias("from_word"), (F.least("hi", (F.col("block") + 1) * block) - F.greatest("lo", F.col("block") * block)).alias("n_words"))
-    pieces = on(pieces.alias("a"), slots.alias("b"), "block").select("slot", "a.source", "a.block", "id", "from_word", "n_words", "turn")
+    # Slots compress so well that their file size would pass for a small table.
+    pieces = on(pieces.alias("a"), slots.hint("merge").alias("b"), "block").select("slot", "a.source", "a.block", "id", "from_word", "n_words", "turn")
     taken = pieces.groupBy("id", "source").agg(F.sum("n_words").alias("taken"))
     plan = placed.join(taken.select(F.col("id").alias("_i"), F.col("source").alias("_s"), "taken"), F.col("id").eqNullSafe(F.col("_i")) & F.col("source").eqNullSafe(F.col("_s")), "left")
     plan = plan.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
