@@ -14,6 +14,7 @@ that succeed are kept; what a lost or repeated attempt wrote is never listed.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -28,7 +29,9 @@ from .common import cut
 
 MAGIC = b"TOKREC01"
 FILE_BYTES = 64 << 20
-MEMO_WORDS = 600_000
+MEMO_RUNS, MEMO_STEMS = 300_000, 900_000
+#: Letters in which Unicode versions agree; a full stop or comma behind them is split off by the tokenizer.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
 INDEX = "id long, file string, part int, roll int, offset long, length long, before long, n_tokens long"
 
 
@@ -39,9 +42,11 @@ def masked(crc: int) -> int:
 class Encoder:
     """Ids of whole texts from the tokenizers library.
 
-    The tokenizer splits at white space before anything else, so a text's ids
-    are those of its runs between spaces and line feeds, joined. Each new run is
-    encoded once by the library and remembered, up to MEMO_WORDS runs.
+    The tokenizer splits at white space, and between letters and signs, before
+    anything else. So a text's ids are those of its runs between spaces and line
+    feeds, joined, and a run of letters with a full stop or comma has the ids of
+    both; case doesn't matter. The library encodes each new run or stem once;
+    both memories have a bound and start anew beyond it.
     """
 
     def __init__(self, path: str):
@@ -51,8 +56,11 @@ class Encoder:
         self.lib = Tokenizer.from_file(path)
         self.type = "<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4"
         self.memo: dict[str, bytes] = {"": b""}
+        self.stems: dict[str, bytes] = {}
+        self._library([".", ","])
+        self.signs = {"": b""} | self.stems
 
-    def _learn(self, new: list[str]) -> None:
+    def _library(self, new: list[str]) -> None:
         for at in range(0, len(new), 2000):
             part = new[at : at + 2000]
             got = self.lib.encode(" ".join(part), add_special_tokens=False)
@@ -62,17 +70,35 @@ class Encoder:
             ends = np.searchsorted(first, np.append(starts[1:], first[-1] + 1 if len(first) else 0)) * ids.itemsize
             raw, begin = ids.tobytes(), 0
             for w, end in zip(part, ends.tolist()):
-                self.memo[w] = raw[begin:end]
+                self.stems[w] = raw[begin:end]
                 begin = end
 
+    def _learn(self, new) -> None:
+        plan = []
+        for w in new:
+            sign = w[-1] if w[-1] in ".," else ""
+            stem = w[:-1] if sign else w
+            if stem.isascii() and stem.isalpha():
+                stem = stem.lower()
+            elif not _LETTERS.fullmatch(stem):
+                stem, sign = w, ""
+            plan.append((w, stem, sign))
+        unknown = {stem for _, stem, _ in plan}.difference(self.stems)
+        if len(self.stems) + len(unknown) > MEMO_STEMS:
+            self.stems.clear()
+            unknown = {stem for _, stem, _ in plan}
+        self._library(list(unknown))
+        for w, stem, sign in plan:
+            self.memo[w] = self.stems[stem] + self.signs[sign]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
         new = set().union(*split).difference(self.memo)
-        if len(self.memo) + len(new) > MEMO_WORDS:
+        if len(self.memo) + len(new) > MEMO_RUNS:
             self.memo = {"": b""}
             new = set().union(*split)
             new.discard("")
-        self._learn(list(new))
+        self._learn(new)
         get = self.memo.__getitem__
         return [b"".join(map(get, ws)) for ws in split]
 
