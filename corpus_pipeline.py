@@ -15,6 +15,8 @@ from strandwise.llm.common import cut, shared_dir, table
 
 #: SQL expresses neither the classifier nor the tokenizer; tests/llm has plain versions.
 ORACLE_SQL = None
+#: Percent of Jaccard similarity at which near_dedup links; op5's 85 is of its query alone.
+SIMILAR = 80
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,9 +25,10 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the smallest id.
-    Of rows that repeat an id one stays; null ids stay."""
-    placed = neardup.near_duplicates(docs).filter("not kept and doc_id is not null").select("doc_id").distinct()
+    """One document of each group of near duplicates (Jaccard similarity 0.8 or
+    more): that of the smallest id. Of rows that repeat an id one stays; null
+    ids stay."""
+    placed = neardup.near_duplicates(docs, percent=SIMILAR).filter("not kept and doc_id is not null").select("doc_id").distinct()
     rest = docs.join(placed, "doc_id", "left_anti").select(*docs.columns)
     named = rest.filter("doc_id is not null").dropDuplicates(["doc_id"])
     return named.unionByName(rest.filter("doc_id is null"))

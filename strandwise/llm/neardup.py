@@ -3,7 +3,7 @@
 Every permutation of a document's shingle set yields two signature values, its
 minimum and its maximum, so 24 hash evaluations a shingle fill 48 values. They
 are cut into 16 bands of 3; a pair of Jaccard similarity 0.85 shares at least
-one band but for a probability of 3e-7. Whatever shares a band is a candidate
+one band but for a probability of 3e-7, one of 0.8 but for 1e-5. Whatever shares a band is a candidate
 and is confirmed on the full sets.
 
 Skew: equal sets collapse into one representative first, so copies are never

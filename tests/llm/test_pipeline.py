@@ -42,5 +42,23 @@ def test_stages(spark):
     assert sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in got) == sorted(ids_of)
 
 
+def test_near_dedup_from_80_percent(spark):
+    rng = np.random.default_rng(4)
+    texts, at = [], 0
+    for g in range(40):  # a text and a copy with one to three changed words, apart or side by side
+        words = [f"g{g}w{i}" for i in range(rng.integers(45, 70))]
+        copy = list(words)
+        for p in rng.choice(len(words), rng.integers(1, 4), replace=False):
+            copy[p] = f"g{g}c{p}"
+        texts += [(at, " ".join(words)), (at + 1, " ".join(copy))]
+        at += 2
+    sets = [shingles(t) for _, t in texts]
+    alike = [100 * len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+    assert sum(80 <= x < 85 for x in alike) >= 3 and sum(x < 80 for x in alike) >= 3
+    want = {i for i, _ in texts if i % 2 == 0 or alike[i // 2] < 80}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    assert {r["doc_id"] for r in dict(pipeline.STAGES)["near_dedup"](spark, docs, SF).collect()} == want
+
+
 def test_run(spark):
     assert pipeline.run(spark, SF).count() > 0 and pipeline.ORACLE_SQL is None and WORD.findall("a b") == ["a", "b"]
