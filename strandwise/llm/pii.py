@@ -11,12 +11,13 @@ start in each run of characters:
     phone  \+[0-9][\x20().0-9-]+[0-9]                   10-15 digits
 
 Sanitisation: a protected entity is a kind, or one value of it. A term (a word
-within ``reach`` code points of a span) discloses an entity when the pointwise
-mutual information PMI = log2(p(t, e) / (p(t) p(e))) reaches ``alpha`` times the
+that no base span touches) discloses an entity when the pointwise mutual
+information PMI = log2(p(t, e) / (p(t) p(e))) reaches ``alpha`` times the
 entity's information -log2 p(e), that is, when seeing the term tells nearly as
-much as seeing the entity. Probabilities are shares of all documents; a term
-needs ``support`` documents. Disclosing terms get spans of kind ``term`` and are
-generalised in the sanitised text.
+much as seeing the entity. Probabilities are shares of all documents, and terms
+and entities meet anywhere in a document; a term needs ``support`` documents
+with the entity. Every occurrence of a disclosing term, in whatever document,
+gets a span of kind ``term`` and is generalised in the sanitised text.
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checked, cut, shared_dir
+from .common import WORD, ascii_lower, checked, cut, shared_dir
 
 KINDS = ("email", "ip", "card", "phone")
+GAP = r"[\x20\x09-\x0D]+"
 #: U+E000 stands for a dot that no label follows; texts' own U+E000 become U+E001 first.
 _DOT, _OTHER = "", ""
 PATTERNS = {
@@ -89,68 +91,80 @@ def joined(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.95, support: int = 5, reach: int = 60) -> DataFrame:
+def _free_parts(text, base):
+    """The stretches of a text between its base spans, without what is left of
+    words that a span touches."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<from:int,to:int>>").alias("out"))
+    stretches = F.aggregate(
+        F.concat(base, F.array(F.struct(F.length(text).alias("start"), F.lit(0).alias("rank"), F.lit("").alias("kind"), F.length(text).alias("end"), F.lit("").alias("value")))),
+        start,
+        lambda acc, s: F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"),
+            F.when(s["start"] > acc["at"], F.concat(acc["out"], F.array(F.struct(acc["at"].alias("from"), s["start"].alias("to"))))).otherwise(acc["out"]).alias("out"),
+        ),
+        lambda acc: acc["out"],
+    )
+
+    def free(p):
+        part = F.substring(text, p["from"] + 1, p["to"] - p["from"])
+        part = F.when(p["from"] > 0, F.regexp_replace(part, rf"\A{WORD}", "")).otherwise(part)
+        return F.when(p["to"] < F.length(text), F.regexp_replace(part, rf"(?<![^\x20\x09-\x0D]){WORD}+\z", "")).otherwise(part)
+
+    return F.transform(stretches, free)
+
+
+def _terms(text, base):
+    """A text's distinct words that no base span touches."""
+    parts = F.when(F.size(base) > 0, F.array_join(_free_parts(text, base), " ")).otherwise(text)
+    return F.filter(F.array_distinct(F.split(ascii_lower(parts), GAP)), lambda w: w != "")
+
+
+def _occurrences(text, base, told):
+    """Spans of the words in ``told``, wherever no base span touches them."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+
+    def add(acc, p):
+        at, term = acc["at"] + F.length(p["gap"]), ascii_lower(p["word"])
+        end = at + F.length(p["word"])
+        span = F.struct(at.alias("start"), F.lit(len(KINDS)).alias("rank"), F.lit("term").alias("kind"), end.alias("end"), term.alias("value"))
+        return F.struct(end.alias("at"), F.when(F.array_contains(told, term), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+
+    pairs = F.arrays_zip(F.split(text, WORD, -1).alias("gap"), F.regexp_extract_all(text, F.lit(WORD), 0).alias("word"))
+    spans = F.aggregate(F.filter(pairs, lambda p: p["word"].isNotNull()), start, add, lambda acc: acc["out"])
+    return F.filter(spans, lambda w: ~F.exists(base, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
+
+
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.95, support: int = 5) -> DataFrame:
     """One row a document: id, base (spans), terms (spans of disclosing terms).
 
-    A null or empty text has no spans. Rows that repeat an id each get their
-    own base spans and, when the texts differ, the terms found under that id. A
-    null id gets base spans only. Other columns are ignored; an empty table
+    A null or empty text has no spans. Rows that repeat an id, or have none,
+    count as documents of their own. Other columns are ignored; an empty table
     gives no rows.
     """
     spark, work = docs.sparkSession, shared_dir(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    # A filter between the steps would be pushed through; the written table holds the spans and their surroundings, not the text.
-    first = texts.select("doc", "t", base_spans(F.col("t")).alias("base"))
-    around = F.transform(
-        "base",
-        lambda s: F.struct(
-            s["kind"].alias("kind"),
-            F.lower(s["value"]).alias("value"),
-            F.greatest(s["start"] - reach, F.lit(0)).alias("from"),
-            s["end"].alias("to"),
-            F.substring(F.col("t"), F.greatest(s["start"] - reach, F.lit(0)) + 1, s["start"] - F.greatest(s["start"] - reach, F.lit(0))).alias("left"),
-            F.substring(F.col("t"), s["end"] + 1, F.lit(reach)).alias("right"),
-            (s["end"] + reach < F.length("t")).alias("more"),
-        ),
-    )
-    base = cut(first.select("doc", "base", around.alias("around")), f"{work}/base")
-    # (place, words' text, whether the text goes on before it, whether it goes on behind it)
-    sides = F.array(
-        F.struct(F.col("a.from").alias("at"), F.col("a.left").alias("w"), (F.col("a.from") > 0).alias("before"), F.lit(True).alias("behind")),
-        F.struct(F.col("a.to").alias("at"), F.col("a.right").alias("w"), F.lit(True).alias("before"), F.col("a.more").alias("behind")),
-    )
-    near = base.select("doc", "base", F.explode("around").alias("a")).select("doc", "base", "a.kind", "a.value", F.explode(sides).alias("side"))
-    gap, word = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
-    zipped = near.select("doc", "base", "kind", "value", "side.at", (F.col("side.before") & F.regexp_like("side.w", F.lit(rf"^{word}"))).cast("int").alias("first"), (F.col("side.behind") & F.regexp_like("side.w", F.lit(rf"{word}\z"))).cast("int").alias("last"), F.split("side.w", word, -1).alias("gaps"), F.regexp_extract_all("side.w", F.lit(word), 0).alias("ws"))
-    step = F.aggregate(
-        F.filter(F.arrays_zip("gaps", "ws"), lambda p: p["ws"].isNotNull()),
-        F.struct(F.col("at").alias("at"), F.array().cast("array<struct<start:int,end:int,term:string>>").alias("out")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["gaps"]) + F.length(p["ws"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(p["gaps"])).alias("start"), (acc["at"] + F.length(p["gaps"]) + F.length(p["ws"])).alias("end"), ascii_lower(p["ws"]).alias("term")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    # A word that the side's end cuts in two is left out.
-    whole = F.slice(step, F.col("first") + 1, F.greatest(F.size("ws") - F.col("first") - F.col("last"), F.lit(0)))
-    terms = zipped.select("doc", "base", "kind", "value", F.explode(whole).alias("m")).select("doc", "kind", "value", "base", "m.start", "m.end", "m.term")
-    terms = terms.filter((F.length("term") >= 3) & ~F.exists("base", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))).drop("base")
-    entities = F.explode(F.array(F.col("kind"), F.concat_ws(":", "kind", "value"))).alias("entity")
-    terms = cut(terms.select("doc", entities, "start", "end", "term"), f"{work}/terms")
-    pairs = terms.select("doc", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("co")).filter(F.col("co") >= support)
+    # Written with the text, as rows need a number that is the same in every later step.
+    base = cut(texts.select("doc", "t", base_spans(F.col("t")).alias("base")).withColumn("row", F.monotonically_increasing_id()), f"{work}/base")
+    names = F.array_distinct(F.flatten(F.transform("base", lambda s: F.array(s["kind"], F.concat_ws(":", s["kind"], F.lower(s["value"]))))))
+    of_kind = cut(base.select(F.explode(names).alias("entity")).groupBy("entity").agg(F.count("*").alias("de")).filter(F.col("de") >= support), f"{work}/entities")
+    # Entities in fewer documents than ``support`` can't meet a term often enough.
+    held = base.filter(F.size("base") > 0).select("row", F.explode(names).alias("entity")).join(checked(of_kind, of_kind.count()), "entity", "left_semi")
+    held = cut(held.groupBy("row").agg(F.collect_list("entity").alias("entities")), f"{work}/held")
+    words = base.filter(F.size("base") > 0).join(held, "row").select("entities", F.explode(_terms(F.col("t"), F.col("base"))).alias("term"))
+    pairs = words.select(F.explode("entities").alias("entity"), "term").groupBy("entity", "term").agg(F.count("*").alias("co")).filter(F.col("co") >= support)
     pairs = cut(pairs, f"{work}/pairs")
     known = cut(pairs.select("term").distinct(), f"{work}/known")
     # A text's words once each, so that counts combine where they are read.
-    seen = texts.select(F.explode(F.array_distinct(F.split(ascii_lower(F.col("t")), gap))).alias("term"))
-    seen = seen.join(checked(known, known.count()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    of_kind = base.select("doc", F.explode("base").alias("s")).select("doc", F.explode(F.array(F.col("s.kind"), F.concat_ws(":", F.col("s.kind"), F.lower("s.value")))).alias("entity"))
-    of_kind = of_kind.distinct().groupBy("entity").agg(F.count("*").alias("de"))
+    seen = base.select("row", F.explode(_terms(F.col("t"), F.col("base"))).alias("term"))
+    counts = seen.join(checked(known, known.count()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     total = base.select(F.count("*").alias("all"))
-    told = pairs.join(seen, "term").join(of_kind, "entity").crossJoin(F.broadcast(total))  # one row
+    told = pairs.join(counts, "term").join(of_kind, "entity").crossJoin(F.broadcast(total))  # one row
     pmi = F.log2(F.col("co") * F.col("all") / (F.col("df") * F.col("de")))
-    told = told.filter((pmi >= alpha * F.log2(F.col("all") / F.col("de"))) & (F.col("de") < F.col("all"))).select("entity", "term")
-    hits = terms.join(told, ["entity", "term"], "left_semi").groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("rank"), F.lit("term").alias("kind"), "end", F.col("term").alias("value")))).alias("terms"))
-    return base.join(hits, "doc", "left").select(F.col("doc").alias(id_col), "base", F.coalesce("terms", F.array().cast(_SPAN)).alias("terms"))
+    told = told.filter((pmi >= alpha * F.log2(F.col("all") / F.col("de"))) & (F.col("de") < F.col("all"))).select("term").distinct()
+    told = cut(told, f"{work}/told")
+    hits = cut(seen.join(checked(told, told.count()), "term", "left_semi").groupBy("row").agg(F.collect_list("term").alias("told")), f"{work}/hits")
+    terms = F.when(F.col("told").isNotNull(), _occurrences(F.col("t"), F.col("base"), F.col("told"))).otherwise(F.array().cast(_SPAN))
+    return base.join(hits, "row", "left").select(F.col("doc").alias(id_col), "base", terms.alias("terms"))
 
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -394,6 +394,22 @@ def test_op10_terms(spark):
     assert clean[0] == "hello there some0 words [TERM] [EMAIL] follow here then more0" and clean[100] == text[12][1]
 
 
+def test_op10_terms_anywhere(spark):
+    filler = " ".join(f"filler{i}" for i in range(30))
+    text: list = [(i, f"zq {filler} farcode {filler} bob{i}@x.yz, {filler} Zq some{i}") for i in range(20)] + [(2000 + i, f"plain {filler} number{i}") for i in range(400)]
+    text += [(500, f"only farcode {filler} zq"), (501, f"farcode zq +1 (415) 555-2671 {filler} FARCODE"), (None, "farcode"), (502, "a farcode"), (502, "two farcode")]
+    # 120 documents with the entity, so that a term in 5 others still passes.
+    text += [(1000 + i, f"zq farcode {filler} eve{i}@x.yz") for i in range(100)]
+    d = spark.createDataFrame(text, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["spans"]) for r in pii.digest(pii.personal_data(d)).collect()), key=repr)
+
+    def want(t):
+        found = [(int(s.split(":")[1]), s) for s in brute_spans(t).split(",") if s]
+        return ",".join(s for _, s in sorted(found + [(m.start(), f"term:{m.start()}:{m.end()}") for m in WORD.finditer(t) if lower(m[0]) in ("zq", "farcode")]))
+
+    assert got == sorted(((i, want(t)) for i, t in text), key=repr)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     items = spark.createDataFrame([], "item_id long, text string")
