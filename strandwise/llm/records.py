@@ -13,13 +13,16 @@ that succeed are kept; what a lost or repeated attempt wrote is never listed.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,7 +31,7 @@ from .common import cut
 
 MAGIC = b"TOKREC01"
 FILE_BYTES = 64 << 20
-MEMO_WORDS = 600_000
+MEMO_WORDS = 800_000
 INDEX = "id long, file string, part int, roll int, offset long, length long, before long, n_tokens long"
 
 
@@ -36,12 +39,52 @@ def masked(crc: int) -> int:
     return (((crc >> 15) | (crc << 17)) + 0xA282EAD8) & 0xFFFFFFFF
 
 
+#: Normalizers that never look past white space, and pre-tokenizers that drop it before anything else.
+_LOCAL = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents"}
+_DROPS_SPACE = {"Whitespace", "WhitespaceSplit", "BertPreTokenizer"}
+_PROBE = " a  b\nc 's it's D'  LL 1 2 3.4 , ,. \u00e9 \u0301x \n\n <a> _ b\u3000c "
+
+
+def separable(lib) -> bool:
+    """Whether a text's ids are those of its runs between spaces and line feeds,
+    joined: by the kinds of its normalizer and pre-tokenizer, and a probe that no
+    piece of the latter holds either of the two."""
+    file = json.loads(lib.to_str())
+
+    def kinds(part, inner):
+        return [] if part is None else part[inner] if part["type"] == "Sequence" else [part]
+
+    def local(n):
+        return n["type"] in _LOCAL or (n["type"] == "Replace" and n["pattern"].get("Regex") in (r"\s+", r"\s") and n["content"] == " ")
+
+    steps = kinds(file["pre_tokenizer"], "pretokenizers")
+    drops = bool(steps) and (steps[0]["type"] in _DROPS_SPACE or (steps[0]["type"] == "Split" and steps[0]["behavior"] == "Removed" and steps[0]["invert"]))
+    if not drops or not all(map(local, kinds(file["normalizer"], "normalizers"))) or any(t.get("add_prefix_space") for t in steps):
+        return False
+    if any(c in t["content"] for t in file["added_tokens"] for c in " \n"):
+        return False
+    pieces = [p for p, _ in lib.pre_tokenizer.pre_tokenize_str(_PROBE)]
+    return not any(c in p for p in pieces for c in " \n\u0120\u010a")
+
+
+#: Patterns of pre-tokenizers for which a letter and one of SIGNS are never in one piece.
+APART = {r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+SIGNS = ",.;:!?$%#&*"
+#: Letters that no normal form or lower-casing turns into more than one character.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+
+
 class Encoder:
     """Ids of whole texts from the tokenizers library.
 
-    The tokenizer splits at white space before anything else, so a text's ids
-    are those of its runs between spaces and line feeds, joined. Each new run is
-    encoded once by the library and remembered, up to MEMO_WORDS runs.
+    Where the tokenizer is ``separable``, each new run between spaces and line
+    feeds is encoded once by the library and remembered, up to MEMO_WORDS runs;
+    a block's runs are looked up once for each distinct one, and their ids
+    gathered by numpy. To have fewer distinct runs, signs behind a letter are set
+    apart and A-Z lowered where that can't change an id: the first by the
+    tokenizer's own pattern; the second where it lowers by itself, the block has
+    no combining marks, and no special token comes to be. Any other tokenizer
+    encodes whole texts.
     """
 
     def __init__(self, path: str):
@@ -49,101 +92,146 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.type = "<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4"
-        self.memo: dict[str, bytes] = {"": b""}
+        self.lib.no_truncation()
+        self.lib.no_padding()
+        self.type = np.dtype("<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4")
+        self.separable = separable(self.lib)
+        file = json.loads(self.lib.to_str())
+        self.special = [t["content"] for t in file["added_tokens"]]
+        steps, forms = json.dumps(file["pre_tokenizer"]), json.dumps(file["normalizer"])
+        self.lowers = '"Lowercase"' in forms
+        self.signs = any(json.dumps({"Regex": p}) in steps for p in APART) and not any(c in t for t in self.special for c in SIGNS)
+        self._forget()
+
+    def _plain(self, texts: pa.Array) -> pa.Array:
+        """The same ids in fewer distinct runs."""
+        texts = pc.replace_substring(texts, "\n", " ")
+        if self.lowers and not pc.any(pc.match_substring_regex(texts, r"\pM")).as_py():
+            low = pc.ascii_lower(texts)
+            met = lambda t: sum(pc.sum(pc.count_substring(t, x)).as_py() or 0 for x in self.special)
+            texts = low if met(low) == met(texts) else texts
+        return pc.replace_substring_regex(texts, rf"([{LETTERS}])([{SIGNS}]+)", r"\1 \2") if self.signs else texts
+
+    def _forget(self) -> None:
+        self.memo: dict[str, int] = {"": 0}
+        self.flat, self.used = np.zeros(1 << 12, self.type), 0
+        self.ends = np.zeros(1 << 12, np.int64)  # word i has the ids from ends[i] to ends[i + 1]
 
     def _learn(self, new: list[str]) -> None:
         for at in range(0, len(new), 2000):
             part = new[at : at + 2000]
             got = self.lib.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(got.ids, self.type)
-            starts = np.cumsum([0, *(len(w) + 1 for w in part[:-1])])
-            first = np.fromiter((o[0] for o in got.offsets), np.int64, len(ids))
-            ends = np.searchsorted(first, np.append(starts[1:], first[-1] + 1 if len(first) else 0)) * ids.itemsize
-            raw, begin = ids.tobytes(), 0
-            for w, end in zip(part, ends.tolist()):
-                self.memo[w] = raw[begin:end]
-                begin = end
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split).difference(self.memo)
+            starts = np.cumsum([0, *(len(w) + 1 for w in part)])
+            first = np.fromiter((o[0] for o in got.offsets), np.int64, len(got.ids))
+            n, known = len(got.ids), len(self.memo)
+            while self.used + n > len(self.flat):
+                self.flat = np.concatenate((self.flat, np.zeros(len(self.flat), self.type)))
+            while known + len(part) + 1 > len(self.ends):
+                self.ends = np.concatenate((self.ends, np.zeros(len(self.ends), np.int64)))
+            self.flat[self.used : self.used + n] = got.ids
+            self.ends[known + 1 : known + len(part) + 1] = self.used + np.searchsorted(first, starts[1:])
+            self.used += n
+            self.memo.update(zip(part, range(known, known + len(part))))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, index of each text's first and the end)."""
+        texts = texts.fill_null("")
+        if not self.separable:
+            got = [e.ids for e in self.lib.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            return np.fromiter((i for ids in got for i in ids), self.type), np.cumsum([0, *map(len, got)])
+        runs = pc.split_pattern(self._plain(texts), " ")
+        coded = runs.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        find = lambda: np.fromiter(map(self.memo.get, words, repeat(-1)), np.int64, len(words))
+        place = find()
+        new = np.flatnonzero(place < 0)
         if len(self.memo) + len(new) > MEMO_WORDS:
-            self.memo = {"": b""}
-            new = set().union(*split)
-            new.discard("")
-        self._learn(list(new))
-        get = self.memo.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+            self._forget()
+            place = find()
+            new = np.flatnonzero(place < 0)
+        place[new] = np.arange(len(self.memo), len(self.memo) + len(new))
+        self._learn([words[i] for i in new.tolist()])
+        begin, size = self.ends[place], self.ends[place + 1] - self.ends[place]
+        of = coded.indices.to_numpy()
+        sizes = size[of]
+        upto = np.concatenate(([0], np.cumsum(sizes)))
+        at = np.repeat(begin[of] - upto[:-1], sizes) + np.arange(upto[-1])
+        bounds = runs.offsets.to_numpy() - runs.offsets[0].as_py()
+        return self.flat[at], upto[bounds]
 
 
 _encoders: dict[str, Encoder] = {}
 
 
-def _blocks(texts: list[str | None], chars: int = 1 << 19):
-    """(begin, end) of runs of texts with about so many characters."""
-    begin = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size > chars:
-            yield begin, i + 1
-            begin, size = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
+def _blocks(texts: pa.Array, size: int = 1 << 22):
+    """(begin, end) of runs of texts with about so many bytes."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < len(upto):
+        done = upto[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(upto, done + size, side="right")))
+        yield begin, end
+        begin = end
 
 
 def _write(batches, folder: str, tokenizer: str, end_id: int):
     from pyarrow.fs import FileSystem
 
     fs, root = FileSystem.from_uri(folder)
-    coder = _encoders.setdefault(tokenizer, None) or Encoder(tokenizer)
-    _encoders[tokenizer] = coder
+    coder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, Encoder(tokenizer))
     end = np.array([end_id], coder.type).tobytes()
-    part, own, roll, out, at, before, name = TaskContext.get().partitionId(), uuid.uuid4().hex, 0, None, 0, 0, ""
+    part, own, roll, out, at, before, name, made = TaskContext.get().partitionId(), uuid.uuid4().hex, 0, None, 0, 0, "", []
     try:
         for b in batches:
-            rows = []
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lo, hi in _blocks(texts):
-                for i, body in zip(range(lo, hi), coder.encode(texts[lo:hi])):
-                    body += end
+            rows: list[tuple] = []
+            for lo, hi in _blocks(b.column(1)):
+                flat, first = coder.encode(b.column(1).slice(lo, hi - lo))
+                raw, marks = flat.tobytes(), (first * coder.type.itemsize).tolist()
+                for i in range(hi - lo):
+                    body = raw[marks[i] : marks[i + 1]] + end
                     if out is None or at > FILE_BYTES:
                         if out is not None:
                             out.close()
                             roll += 1
                         name = f"part-{part:06d}-{roll:04d}-{own}.rec"
                         out = fs.open_output_stream(f"{root}/{name}")
+                        made.append(name)
                         out.write(MAGIC + struct.pack("<I", len(end)))
                         at, before = 12, 0
                     size = struct.pack("<Q", len(body))
                     out.write(b"".join((size, struct.pack("<I", masked(zlib.crc32(size))), body, struct.pack("<I", masked(zlib.crc32(body))))))
                     n = len(body) // len(end)
-                    rows.append((ids[i], name, part, roll, at, len(body) + 16, before, n))
+                    rows.append((name, part, roll, at, len(body) + 16, before, n))
                     at += len(body) + 16
                     before += n
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], ["id", "file", "part", "roll", "offset", "length", "before", "n_tokens"]) if rows else None
-    finally:
+            if rows:
+                columns = zip(zip(*rows), (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in columns)], ["id", "file", "part", "roll", "offset", "length", "before", "n_tokens"])
+        if out is not None:
+            out.close()
+    except BaseException:  # a failed attempt takes its files with it
         if out is not None:
             out.close()
+        for f in made:
+            fs.delete_file(f"{root}/{f}")
+        raise
 
 
 def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes ``docs`` in ascending id order; gives the index, itself written
     below ``folder`` as ``index``.
 
-    Null texts are empty; null ids come first; rows of one id come by text.
-    Other columns are ignored. An empty table makes no file and no index row.
+    Null texts are empty; null ids come first; rows of one id come by the hash
+    of their text, and very many of them are dealt to several tasks. Other columns
+    are ignored. An empty table makes no file and no index row.
     """
     spark = docs.sparkSession
     files = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/files")
     files.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(files)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    rows = rows.repartitionByRange("id").sortWithinPartitions("id", "t")
-
-    def write(batches):
-        return (b for b in _write(batches, f"{folder}/files", tokenizer, end_id) if b is not None)
-
-    return cut(rows.mapInArrow(write, INDEX), f"{folder}/index")
+    rows = rows.withColumn("h", F.xxhash64("t")).withColumn("row", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange("id", "h", "row").sortWithinPartitions("id", "h", "row").select("id", "t")
+    return cut(rows.mapInArrow(lambda it: _write(it, f"{folder}/files", tokenizer, end_id), INDEX), f"{folder}/index")
 
 
 def _read(batches, folder: str):
