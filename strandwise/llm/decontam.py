@@ -54,12 +54,12 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     exact = cut(exact, f"{work}/exact")
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("t"))
     found = texts.select("doc", F.transform(words(F.col("t")), lambda w: F.xxhash64(w)).alias("hw"))
-    found = found.select("doc", F.explode(_hashes(F.col("hw"), k)).alias("h")).join(checked(sketch, sketch.count()), "h")
+    found = found.select("doc", F.explode(_hashes(F.col("hw"), k)).alias("h")).join(checked(sketch), "h")
     found = found.distinct().groupBy("doc", "item").agg(F.sum("weight").alias("hits"), F.first("perms").alias("perms"))
     found = cut(found.filter("10 * hits >= 3 * perms").select("doc", "item"), f"{work}/found")
     near = texts.join(found.select("doc").distinct(), "doc", "left_semi").select("doc", words(F.col("t")).alias("ws"))
     near = near.select("doc", F.explode(_shingles(F.col("ws"), k)).alias("s"))
-    both = near.join(checked(exact, exact.count()), "s").distinct().groupBy("doc", "item").agg(F.count("*").alias("n_shared"))
+    both = near.join(checked(exact), "s").distinct().groupBy("doc", "item").agg(F.count("*").alias("n_shared"))
     both = both.join(found, ["doc", "item"], "left_semi")
     sized = exact.groupBy("item").agg(F.count("*").alias("n_item"))
     out = both.join(sized, "item").filter(f"100 * n_shared >= {percent} * n_item")

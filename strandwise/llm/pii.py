@@ -148,7 +148,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     names = F.array_distinct(F.flatten(F.transform("base", lambda s: F.array(s["kind"], F.concat_ws(":", s["kind"], F.lower(s["value"]))))))
     of_kind = cut(base.select(F.explode(names).alias("entity")).groupBy("entity").agg(F.count("*").alias("de")).filter(F.col("de") >= support), f"{work}/entities")
     # Entities in fewer documents than ``support`` can't meet a term often enough.
-    held = base.filter(F.size("base") > 0).select("row", F.explode(names).alias("entity")).join(checked(of_kind, of_kind.count()), "entity", "left_semi")
+    held = base.filter(F.size("base") > 0).select("row", F.explode(names).alias("entity")).join(checked(of_kind), "entity", "left_semi")
     held = cut(held.groupBy("row").agg(F.collect_list("entity").alias("entities")), f"{work}/held")
     words = base.filter(F.size("base") > 0).join(held, "row").select("entities", F.explode(_terms(F.col("t"), F.col("base"))).alias("term"))
     pairs = words.select(F.explode("entities").alias("entity"), "term").groupBy("entity", "term").agg(F.count("*").alias("co")).filter(F.col("co") >= support)
@@ -156,13 +156,13 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     known = cut(pairs.select("term").distinct(), f"{work}/known")
     # A text's words once each, so that counts combine where they are read.
     seen = base.select("row", F.explode(_terms(F.col("t"), F.col("base"))).alias("term"))
-    counts = seen.join(checked(known, known.count()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    counts = seen.join(checked(known), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     total = base.select(F.count("*").alias("all"))
     told = pairs.join(counts, "term").join(of_kind, "entity").crossJoin(F.broadcast(total))  # one row
     pmi = F.log2(F.col("co") * F.col("all") / (F.col("df") * F.col("de")))
     told = told.filter((pmi >= alpha * F.log2(F.col("all") / F.col("de"))) & (F.col("de") < F.col("all"))).select("term").distinct()
     told = cut(told, f"{work}/told")
-    hits = cut(seen.join(checked(told, told.count()), "term", "left_semi").groupBy("row").agg(F.collect_list("term").alias("told")), f"{work}/hits")
+    hits = cut(seen.join(checked(told), "term", "left_semi").groupBy("row").agg(F.collect_list("term").alias("told")), f"{work}/hits")
     terms = F.when(F.col("told").isNotNull(), _occurrences(F.col("t"), F.col("base"), F.col("told"))).otherwise(F.array().cast(_SPAN))
     return base.join(hits, "row", "left").select(F.col("doc").alias(id_col), "base", terms.alias("terms"))
 

@@ -29,8 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checked, cut, shared_dir
-from .textvec import PIECE, U, mix, splitmix
-from .textvec import _INV, _BASE
+from .textvec import PIECE, U, mix, powers, splitmix
 
 LENGTH, GRAM = 200, 32
 #: Bytes of segments that one suffix sort takes; a larger class is cut by the windows' places in it.
@@ -97,20 +96,13 @@ def repeated_windows(data: np.ndarray, valid: np.ndarray, length: int = LENGTH)
     return out
 
 
-def _powers(n: int, _kept: dict = {}):  # noqa: B006
-    if _kept.get("n", 0) < n:
-        size = max(n, 4 * PIECE)
-        _kept.update(n=size, up=np.cumprod(np.full(size, _BASE, U)), down=np.cumprod(np.full(size, _INV, U)))
-    return _kept["up"], _kept["down"]
-
-
 def segments(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, gram: int = GRAM):
     """(begin, windows, minimizer, hash of the bytes) of each segment; ``starts``
     are the offsets of the texts in ``data``, with its end as the last."""
     n = len(data) - length + 1
     if n <= 0:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, U),) * 2
-    up, down = _powers(len(data) + 1)
+    up, down = powers(len(data) + 1)
     with np.errstate(over="ignore"):
         total = np.zeros(len(data) + 1, U)
         np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
@@ -315,7 +307,7 @@ def _sort_classes(batches):
 
 def _minimizer(data: np.ndarray) -> int:
     """Where the minimizer of a segment's windows stands in its bytes."""
-    up, down = _powers(len(data) + 1)
+    up, down = powers(len(data) + 1)
     with np.errstate(over="ignore"):
         total = np.zeros(len(data) + 1, U)
         np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
@@ -365,7 +357,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ids = cut(rows.filter(F.length("t") >= LENGTH).select("id", "text"), f"{work}/ids")
     copied = cut(ids.groupBy("text").agg(F.count("*").alias("copies"), F.min("id").alias("id")).filter("copies > 1"), f"{work}/copied")
     others = cut(ids.join(copied.select("text", F.col("id").alias("stays")), "text").filter("id <> stays").select("id").distinct(), f"{work}/others")
-    alone = rows.filter(F.length("t") >= LENGTH).join(checked(others, others.count()), "id", "left_anti")
+    alone = rows.filter(F.length("t") >= LENGTH).join(checked(others), "id", "left_anti")
     dealt = cut(alone.select("text", "t").mapInArrow(_dealt, "class long, whole long, text long, lo long, n int, again boolean"), f"{work}/dealt")
     met = dealt.filter("class is null")
     apart = dealt.filter("class is not null").repartition("class").sortWithinPartitions("class", "whole", "text", "lo")
