@@ -6,8 +6,10 @@ are cut into 16 bands of 3; a pair of Jaccard similarity 0.85 shares at least
 one band but for a probability of 3e-7, one of 0.8 but for 1e-5. Whatever shares a band is a candidate
 and is confirmed on the full sets.
 
-Skew: equal sets collapse into one representative first, so copies are never
-paired. A band's bucket has a center, its member whose bands are the most
+Skew: equal sets collapse into one class first, so copies are never paired.
+Classes are known by 128 bits of sums over their whole set and its size: the
+sets of copies are not moved to compare them. What a hot center or a hot bucket
+needs is dealt to many tasks (``common.spread``). A band's bucket has a center, its member whose bands are the most
 common ones, and every other member is confirmed against it: linear in the
 bucket. What the center doesn't confirm (outsiders) can still link with other
 members of its buckets. Let D(x) be the symmetric difference of x and the
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked, components, cut, shared_dir
+from .common import checked, components, cut, shared_dir, spread
 from .textvec import U, runs, shingle_sets, splitmix
 
 PERMUTATIONS, ROWS = 24, 3
@@ -59,87 +61,99 @@ def min_max_bands(values: np.ndarray, at: np.ndarray, permutations: int = PERMUT
 
 
 def _small(batches):
+    """(first column, texts) of runs of rows with a bounded number of bytes."""
     for b in batches:
-        for lo, hi in runs(b.column(1).to_pylist()):
-            yield b.slice(lo, hi - lo)
+        texts = b.column(b.num_columns - 1).to_pylist()
+        for lo, hi in runs(texts):
+            yield b.slice(lo, hi - lo), texts[lo:hi]
 
 
 def _signatures(batches, k: int):
-    for b in _small(batches):
-        values, at = shingle_sets(b.column(1).to_pylist(), k)
+    for b, texts in _small(batches):
+        values, at = shingle_sets(texts, k)
         bands = min_max_bands(values, at).view(np.int64)
         n = np.diff(at)
         with np.errstate(over="ignore"):
-            spread = values * U(0xBF58476D1CE4E5B9)
-            spread ^= spread >> U(29)
             total = np.concatenate(([U(0)], np.cumsum(values, dtype=U)))
-            total2 = np.concatenate(([U(0)], np.cumsum(spread * U(0x94D049BB133111EB), dtype=U)))
+            spread_out = values * U(0xBF58476D1CE4E5B9)
+            spread_out ^= spread_out >> U(29)
+            total2 = np.concatenate(([U(0)], np.cumsum(spread_out * U(0x94D049BB133111EB), dtype=U)))
             d1, d2 = total[at[1:]] - total[at[:-1]], total2[at[1:]] - total2[at[:-1]]
         w = bands.shape[1]
         rows = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * w, pa.int32()), pa.array(bands.ravel()))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), rows], ["id", "n", "d1", "d2", "bands"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), rows], ["id", "h", "n", "d1", "d2", "bands"])
 
 
 def _sets(batches, k: int):
-    for b in _small(batches):
-        values, at = shingle_sets(b.column(1).to_pylist(), k)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.view(np.int64)))], ["id", "items"])
-
-
-def _paired(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) with the full sets x of a and y of b."""
-    left = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    right = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
-    return pairs.join(left, "b").join(right, "a")
+    for b, texts in _small(batches):
+        values, at = shingle_sets(texts, k)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.view(np.int64)))], ["node", "items"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= percent * union of full sets."""
-    both = _paired(pairs, sets).withColumn("i", F.size(F.array_intersect("x", "y")).cast("long"))
+    left = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
+    right = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
+    both = pairs.join(left, "b").join(right, "a").withColumn("i", F.size(F.array_intersect("x", "y")).cast("long"))
     return both.filter(100 * F.col("i") >= percent * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 85) -> DataFrame:
-    """One row a document: id, n_shingles, component_id (the smallest id it
-    reaches over links), kept (it is that id itself).
-
-    Null or empty texts have no shingles and link with nothing, and stay. Equal
-    sets always link. A null id gets a component only through its copies. Ids
-    are meant to be unique; a repeated row counts as a copy of itself. Other
-    columns, whatever their names, are ignored. An empty table gives no rows.
-    """
-    work = shared_dir(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
-    sigs = cut(texts.mapInArrow(lambda it: _signatures(it, k), "id long, n long, d1 long, d2 long, bands array<long>"), f"{work}/sigs")
+def _differences(star: DataFrame, sets: DataFrame, work: str) -> DataFrame:
+    """Pairs (a, b) of ``star`` with the sizes n_a and n_b of their sets and d,
+    their symmetric difference. A center's set goes to as many tasks as its
+    pairs need."""
+    arms = cut(star.groupBy("a").agg(F.count("*").alias("arms")), f"{work}/arms")
+    centers = cut(arms.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a"), f"{work}/centers")
+    left = star.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
+    both = spread(left, centers, ["a"], "arms")
+    return both.select("a", "b", F.size("x").alias("n_a"), F.size("y").alias("n_b"), F.concat(F.array_except("x", "y"), F.array_except("y", "x")).alias("d"))
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, work: str) -> tuple[DataFrame, DataFrame]:
+    """(signatures, classes). A signature row for each row of ``docs``: id, h
+    (hash of the text), n, d1, d2. A row for each distinct set (n, d1, d2): its
+    copies, and as component and first_h the id and h of the first row of its
+    component, by id (nulls last), then h."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("binary").alias("t"))
+    sigs = cut(texts.mapInArrow(lambda it: _signatures(it, k), "id long, h long, n long, d1 long, d2 long, bands array<long>"), f"{work}/sigs")
     key = ["n", "d1", "d2"]
-    classes = cut(sigs.filter("n > 0").groupBy(*key).agg(F.min("id").alias("rep"), F.first("bands").alias("bands")).filter("rep is not null"), f"{work}/classes")
-    banded = classes.select("rep", F.col("n").alias("size"), F.posexplode("bands").alias("band", "value"))
-    buckets = banded.groupBy("band", "value").agg(F.count("*").alias("members")).filter("members > 1")
-    members = cut(banded.join(buckets, ["band", "value"]), f"{work}/members")
-    # How common a representative's bands are; the most central member leads its bucket.
-    common = members.groupBy("rep").agg(F.sum("members").alias("common"))
-    named = members.select("band", "value", "rep").join(common, "rep")
-    centers = named.groupBy("band", "value").agg(F.max_by("rep", F.struct("common", -F.col("rep"))).alias("center"))
-    star = cut(members.join(centers, ["band", "value"]).filter("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct(), f"{work}/star")
-    ids = cut(members.select(F.col("rep").alias("id")).distinct(), f"{work}/ids")
-    sets = texts.join(checked(ids, ids.count()), "id", "left_semi").mapInArrow(lambda it: _sets(it, k), "id long, items array<long>").dropDuplicates(["id"])
-    sets = cut(sets, f"{work}/sets")
-    measured = _paired(star, sets).select("a", "b", F.size("x").alias("n_a"), F.size("y").alias("n_b"), F.concat(F.array_except("x", "y"), F.array_except("y", "x")).alias("d"))
+    first = F.min(F.struct(F.col("id").isNull(), "id", "h")).alias("first")
+    grouped = sigs.filter("n > 0").groupBy(*key).agg(first, F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    grouped = cut(grouped.select(*key, "copies", "bands", F.col("first.id").alias("id"), F.col("first.h").alias("h")), f"{work}/grouped")
+    # Nodes are numbered in the order of ids, so that the smallest node of a component has its smallest id.
+    order = [F.asc_nulls_last("id"), F.asc("h")]
+    classes = cut(grouped.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("node", F.monotonically_increasing_id()), f"{work}/classes")
+    banded = classes.select("node", F.posexplode("bands").alias("band", "value"))
+    buckets = cut(banded.groupBy("band", "value").agg(F.count("*").alias("members")).filter("members > 1"), f"{work}/buckets")
+    members = cut(spread(banded, buckets, ["band", "value"], "members"), f"{work}/members")
+    # How common a class's bands are; the most central member leads its bucket.
+    common = members.groupBy("node").agg(F.sum("members").alias("common"))
+    named = members.join(common, "node")
+    centers = named.groupBy("band", "value").agg(F.max_by("node", F.struct("common", -F.col("node"))).alias("center"), F.count("*").alias("members"))
+    centers = cut(centers, f"{work}/leads")
+    star = spread(members.select("band", "value", "node"), centers, ["band", "value"], "members").filter("node <> center")
+    star = cut(star.select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), f"{work}/star")
+    wanted = classes.select("node", "id", "h").join(members.select("node").distinct(), "node", "left_semi")
+    wanted = cut(wanted.select("node", F.col("id").alias("_id"), F.col("h").alias("_h")), f"{work}/wanted")
+    read = texts.join(checked(wanted), F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("node", "t")
+    sets = cut(read.mapInArrow(lambda it: _sets(it, k), "node long, items array<long>").dropDuplicates(["node"]), f"{work}/sets")
     t = F.lit((100 - percent) / (100 + percent))
     size = F.col("n_a") + F.col("n_b")
     linked = (100 - percent) * size >= (100 + percent) * F.size("d")
-    measured = cut(measured.withColumn("linked", linked), f"{work}/measured")
+    measured = cut(_differences(star, sets, work).withColumn("linked", linked), f"{work}/measured")
     links = measured.filter("linked").select("a", "b")
     labels = components(links, f"{work}/c1")
     # Groups of a center with outsiders, and in each the shingles that differ from the center's, with their counts.
-    open_groups = measured.groupBy("a").agg(F.count("*").alias("m"), F.count_if(~F.col("linked")).alias("outside")).filter("m > 1 and outside > 0").select("a")
+    groups = measured.groupBy("a").agg(F.count("*").alias("m"), F.count_if(~F.col("linked")).alias("outside")).filter("m > 1 and outside > 0")
+    groups = cut(groups, f"{work}/groups")
     eps = 1e-9
     least_out = F.greatest(F.lit(1), F.ceil((F.size("d") - t * size) / 2 - eps))
     least_in = F.greatest(F.lit(1), F.ceil((F.size("d") - t * (F.col("n_b") - F.col("n_a"))) / 2 - eps))
-    differing = measured.join(open_groups, "a").withColumn("as_in", F.size("d") - least_in + 1).withColumn("as_out", F.size("d") - least_out + 1)
+    differing = spread(measured, groups, ["a"], "m").withColumn("as_in", F.size("d") - least_in + 1).withColumn("as_out", F.size("d") - least_out + 1)
     differing = differing.select("a", "b", "n_b", "linked", "as_in", "as_out", F.explode("d").alias("item"))
-    counts = differing.groupBy("a", "item").agg(F.count("*").alias("df"))
-    ranked = differing.join(counts, ["a", "item"]).groupBy("a", "b", "n_b", "linked", "as_in", "as_out").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("d"))
+    counts = cut(differing.groupBy("a", "item").agg(F.count("*").alias("df")), f"{work}/counts")
+    counted = spread(differing, counts, ["a", "item"], "df")
+    ranked = counted.groupBy("a", "b", "n_b", "linked", "as_in", "as_out").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("d"))
     prefix = ranked.select("a", "b", "n_b", "linked", "as_in", "as_out", F.size("d").alias("n_d"), F.posexplode("d").alias("place", "x")).filter("x.df > 1 and place < greatest(as_in, as_out)")
     prefix = prefix.join(labels.withColumnRenamed("node", "b"), "b", "left").select("a", "b", "n_b", "n_d", "linked", F.coalesce("label", "b").alias("label"), "place", "as_in", "as_out", F.col("x.item").alias("item"))
     prefix = cut(prefix, f"{work}/prefix")
@@ -154,7 +168,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = cut(_confirmed(cross, sets, percent), f"{work}/cross")
     if more.limit(1).count():
         labels = components(links.unionByName(more), f"{work}/c2")
-    placed = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("label", "rep").alias("component"))
-    out = sigs.select("id", *key).join(placed, key, "left")
-    component = F.coalesce("component", "id")
+    heads = cut(labels.groupBy("label").agg(F.count("*").alias("nodes")).join(classes.select(F.col("node").alias("label"), F.col("id").alias("component"), F.col("h").alias("first_h")), "label"), f"{work}/heads")
+    placed = classes.join(spread(labels, heads, ["label"], "nodes").select("node", "component", "first_h", F.lit(True).alias("moved")), "node", "left")
+    own = lambda c, d: F.when(F.col("moved"), F.col(c)).otherwise(F.col(d)).alias(c)
+    return sigs.drop("bands"), cut(placed.select(*key, "copies", own("component", "id"), own("first_h", "h")), f"{work}/placed")
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, work: str) -> DataFrame:
+    sigs, classes = _classes(docs, id_col, text_col, k, percent, work)
+    return spread(sigs, classes, ["n", "d1", "d2"], "copies", "left").withColumn("component", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 85) -> DataFrame:
+    """One row for each row of ``docs``: id, n_shingles, component_id (the
+    smallest id it reaches over links), kept (it is that id itself).
+
+    Null or empty texts have no shingles and link with nothing, and stay. Equal
+    sets always link. Rows are documents even where they repeat an id: each
+    links by its own text. A null id counts only where no other is reached; such
+    rows are never kept. Other columns, whatever their names, are ignored. An
+    empty table gives no rows.
+    """
+    out = _placed(docs, id_col, text_col, k, percent, shared_dir(docs.sparkSession))
+    component = F.col("component")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 85) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that of the
+    smallest id (null last), of equal ids that of the smallest hash of the text,
+    of rows equal in both one by the hash of all columns. Rows without words are
+    no group and all stay. Columns stay as they are."""
+    work = shared_dir(docs.sparkSession)
+    placed = cut(_placed(docs, id_col, text_col, k, percent, work).filter("n > 0").withColumn("stays", F.col("id").eqNullSafe(F.col("component")) & (F.col("h") == F.col("first_h"))), f"{work}/rows")
+    rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))
+    named = lambda df: df.select(F.col("id").alias("_id"), F.col("h").alias("_h"))
+    gone = cut(named(placed.filter("not stays")).distinct(), f"{work}/gone")
+    rest = rows.join(checked(gone), same, "left_anti")
+    again = cut(named(placed.filter("stays").groupBy("id", "h").agg(F.count("*").alias("c")).filter("c > 1")), f"{work}/again")
+    if not again.limit(1).count():
+        return rest.select("doc.*")
+    repeats = rest.join(checked(again), same, "left_semi").groupBy("id", "h").agg(F.min_by("doc", F.xxhash64("doc")).alias("doc"))
+    return rest.join(checked(again), same, "left_anti").select("doc.*").unionByName(repeats.select("doc.*"))
