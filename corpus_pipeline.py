@@ -2,13 +2,13 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run``
 writes as Parquet in the shared folder and reads again for the next one. All
-but the last return the columns of ``documents``.
+but the last return the columns of ``documents``, whatever these are called.
+Empty tables pass through as such.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from strandwise.llm import decontam, mixing, neardup, quality, queries, records
 from strandwise.llm.common import cut, shared_dir, table
@@ -20,22 +20,21 @@ SIMILAR = 80
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose tail probability of the best grade is 1/2 or more."""
-    return quality.rate(docs, table(spark, sf_dir, "labels")).filter("kept").select(*docs.columns)
+    """Documents whose tail probability of the best grade is quality.KEEP or
+    more. Nulls and empty texts are rated as texts without words."""
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (Jaccard similarity 0.8 or
-    more): that of the smallest id. Of rows that repeat an id one stays; null
-    ids stay."""
-    placed = neardup.near_duplicates(docs, percent=SIMILAR).filter("not kept and doc_id is not null").select("doc_id").distinct()
-    rest = docs.join(placed, "doc_id", "left_anti").select(*docs.columns)
-    named = rest.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(rest.filter("doc_id is null"))
+    more): that of the smallest id. Documents without words are no group and stay;
+    rows that repeat an id go by their texts; null ids come last."""
+    return neardup.representatives(docs, percent=SIMILAR)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that contain no benchmark item; rows of null ids stay, and rows
+    that share an id go together."""
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -43,12 +42,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes most of their words: once for every
     turn of their source's stream in which half of them or more is scheduled.
     Documents without words are never scheduled."""
-    _, pieces, _ = mixing.mix(docs)
-    turns = pieces.groupBy("id", "source", "turn").agg(F.sum("n_words").alias("w"))
-    chosen = turns.select(F.col("id").alias("_id"), F.col("source").alias("_source"), "w")
-    sized = mixing.sized(docs).withColumnRenamed("size", "_size")
-    both = sized.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
-    return both.filter("2 * w >= _size").select(*docs.columns)
+    return mixing.repeated(docs)
 
 
 def token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
