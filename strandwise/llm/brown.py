@@ -1,12 +1,15 @@
 """Brown class-based n-gram scoring.
 
 P(w | v) = P(class(w) | class(v)) * P(w | class(w)). Classes come from exchange
-clustering: each unit in turn moves to the class that gains most likelihood of
-the class bigrams. Units are the most frequent words, and for all others one
-unit for each word shape, so the table of unit bigrams is bounded while its
-counts, and the words' own, are taken over the whole training corpus. Emission
-is smoothed by 0.1, one unseen word reserved in each class; transitions are
-smoothed by the classes' own shares.
+clustering: a unit moves to the class that gains most likelihood of the class
+bigrams. The clustered words are the 4 sqrt(N) most frequent of N training
+tokens, the classes N^(1/4) times 0.6 (64 at least), so both grow with the
+corpus; each word beyond shares a unit with the words of its shape. The SEEDS
+most frequent units exchange one after the other on the driver, over the table
+of their bigrams; then all other words exchange in blocks on the executors, each
+by its own sparse counts of the classes beside it, in PASSES passes over the
+whole training corpus. Emission is smoothed by 0.1, one unseen word reserved in
+each class; transitions are smoothed by the classes' own shares.
 
 Words are 64-bit hashes. Words with high counts (FREQUENT at most) are looked
 up from a broadcast; the rest are joined with the table of counts.
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import cut, shared_dir
 from .textvec import SHAPES, U, runs, word_hashes
 
-UNITS, CLASSES, SWEEPS, FREQUENT, FLUSH = 1024, 64, 5, 1 << 18, 2_000_000
+SEEDS, CLASSES, SWEEPS, PASSES, FREQUENT, FLUSH = 1024, 64, 5, 2, 1 << 18, 2_000_000
 #: The end of a text as a word, and as a unit.
 END = U(0)
 
@@ -77,21 +80,98 @@ def _with_ends(units: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, at + np.arange(n + 1)
 
 
-def _bigrams(batches, top, size: int):
-    total, keys = np.zeros(size * size, np.int64), top.value
+def _sequence(texts: list[bytes | None], top) -> tuple[np.ndarray, np.ndarray]:
+    """(units of all texts, each closed by an end; the unit before each)."""
+    shapes: list = [np.zeros(0, np.int64)]
+    h, at = word_hashes(texts, shapes)
+    seq, _ = _with_ends(_units(h, np.concatenate(shapes), top), at)
+    return seq, np.concatenate(([0], seq[:-1]))  # what stands before a text is an end
+
+
+def _bigrams(batches, shared, size: int):
+    """Counts of adjacent groups; ``shared`` has the top words and each unit's group."""
+    total, (top, of) = np.zeros(size * size, np.int64), shared.value
     for b in batches:
         texts = b.column(0).to_pylist()
         for lo, hi in runs(texts):
-            shapes: list = [np.zeros(0, np.int64)]
-            h, at = word_hashes(texts[lo:hi], shapes)
-            seq, _ = _with_ends(_units(h, np.concatenate(shapes), keys), at)
-            prev = np.concatenate(([0], seq[:-1]))  # what stands before a text is an end
-            total += np.bincount(prev * size + seq, minlength=size * size)
+            seq, prev = _sequence(texts[lo:hi], top)
+            total += np.bincount(of[prev] * size + of[seq], minlength=size * size)
     table = total.reshape(size, size)
     rows = np.flatnonzero(table.any(1))
     yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([np.flatnonzero(table[r]).astype("<u2").tobytes() for r in rows], pa.binary()), pa.array([table[r][table[r] > 0].astype("<i8").tobytes() for r in rows], pa.binary())], ["prev", "units", "counts"])
 
 
+def _table(train: DataFrame, shared, size: int) -> np.ndarray:
+    """The summed table of adjacent groups, size x size."""
+    grams = train.mapInArrow(lambda it: _bigrams(it, shared, size), "prev int, units binary, counts binary")
+    grams = grams.repartition("prev").mapInArrow(lambda it: _summed(it, size), "prev int, row binary").toArrow()
+    table = np.zeros((size, size), np.int64)
+    for prev, row in zip(grams.column("prev").to_pylist(), grams.column("row").to_pylist()):
+        table[prev] = np.frombuffer(row, np.int64)
+    return table
+
+
+def _contexts(batches, shared, first: int, classes: int):
+    """Counts of (unit, slot) for units from ``first`` on: slot c is class c
+    before it, classes + c class c behind it, 2 * classes itself."""
+    top, of = shared.value
+    wide, parts, size = 2 * classes + 1, [], 0
+
+    def merged():
+        keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        return keys[start], np.add.reduceat(counts[order], start)
+
+    def rows(keys, counts):
+        return pa.RecordBatch.from_arrays([pa.array(keys // wide), pa.array((keys % wide).astype(np.int32)), pa.array(counts)], ["unit", "slot", "n"])
+
+    for b in batches:
+        texts = b.column(0).to_pylist()
+        for lo, hi in runs(texts):
+            seq, prev = _sequence(texts[lo:hi], top)
+            own, back = seq >= first, prev >= first
+            keys = np.concatenate((seq[own] * wide + of[prev[own]], prev[back] * wide + classes + of[seq[back]], seq[own & (seq == prev)] * wide + 2 * classes))
+            if len(keys):
+                parts.append(np.unique(keys, return_counts=True))
+                size += len(parts[-1][0])
+            if size > FLUSH:
+                parts = [merged()]
+                size = len(parts[0][0])
+                if size > FLUSH // 2:
+                    yield rows(*parts[0])
+                    parts, size = [], 0
+    if parts:
+        yield rows(*merged())
+
+
+def _exchanged(batches, shared, classes: int):
+    """Rows (unit, slot, n), sorted by unit: each unit's best class."""
+    of, big = shared.value
+    rest, out = None, []
+
+    def settle(unit, slot, n):
+        counts = np.zeros(2 * classes + 1)
+        np.add.at(counts, slot, n)
+        table = big.copy()
+        left, right, self_n = counts[:classes], counts[classes:-1], counts[-1]
+        out.append((unit, _moved(table, int(of[unit]), right, left, self_n)[0]))
+
+    for b in batches:
+        cols = [c.to_numpy() for c in b.columns]
+        if rest is not None:
+            cols = [np.concatenate(x) for x in zip(rest, cols)]
+        edge = np.flatnonzero(np.diff(cols[0])) + 1
+        for at, end in zip(np.concatenate(([0], edge[:-1])), edge) if len(edge) else ():
+            settle(int(cols[0][at]), cols[1][at:end], cols[2][at:end])
+        last = edge[-1] if len(edge) else 0
+        rest = [c[last:] for c in cols]
+    if rest is not None and len(rest[0]):
+        settle(int(rest[0][0]), rest[1], rest[2])
+    yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([c for _, c in out], pa.int32())], ["unit", "class"])
+
+
 def _summed(batches, size: int):
     sums: dict[int, np.ndarray] = {}
     for b in batches:
@@ -105,6 +185,32 @@ def _xlogx(x):
     return x * np.log(np.maximum(x, 1))
 
 
+def _moved(big: np.ndarray, k: int, right: np.ndarray, left: np.ndarray, self_n: float) -> tuple[int, float]:
+    """Moves a unit of class k to the class of most likelihood, in the class
+    bigrams ``big`` too; ``right`` and ``left`` are its counts with the classes
+    behind and before it, with itself among them. The class and the gain."""
+    r, l = right.copy(), left.copy()  # noqa: E741
+    r[k] -= self_n
+    l[k] -= self_n
+    big[k] -= r
+    big[:, k] -= l
+    big[k, k] -= self_n
+    n_row, n_col = big.sum(1), big.sum(0)
+    c, d = np.flatnonzero(r), np.flatnonzero(l)
+    gain = (_xlogx(big[:, c] + r[c]) - _xlogx(big[:, c])).sum(1) + (_xlogx(big[d] + l[d, None]) - _xlogx(big[d])).sum(0)
+    x = np.diag(big)
+    gain += _xlogx(x + r + l + self_n) + _xlogx(x) - _xlogx(x + r) - _xlogx(x + l)
+    out_n, in_n = r.sum() + self_n, l.sum() + self_n
+    gain -= _xlogx(n_row + out_n) - _xlogx(n_row) + _xlogx(n_col + in_n) - _xlogx(n_col)
+    gain[0] = -np.inf
+    best = int(np.argmax(gain))
+    new = best if gain[best] > gain[k] + 1e-9 else k
+    big[new] += r
+    big[:, new] += l
+    big[new, new] += self_n
+    return new, float(gain[new] - gain[k])
+
+
 def exchange(table: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
     """Class of each unit; unit 0 (the end) keeps class 0 to itself. Maximises
     sum n(c, d) log n(c, d) - 2 sum n(c) log n(c) over class bigrams."""
@@ -129,24 +235,8 @@ def exchange(table: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
         for u in often:
             if not u or not table[u].any() and not table[:, u].any():
                 continue
-            k, self_n = of[u], table[u, u]
-            r, l = right[u].copy(), left[u].copy()  # noqa: E741
-            r[k] -= self_n
-            l[k] -= self_n
-            big[k] -= r
-            big[:, k] -= l
-            big[k, k] -= self_n
-            n_row, n_col = big.sum(1), big.sum(0)
-            gain = (_xlogx(big + r) - _xlogx(big)).sum(1) + (_xlogx(big + l[:, None]) - _xlogx(big)).sum(0)
-            d = np.diag(big)
-            gain += _xlogx(d + r + l + self_n) + _xlogx(d) - _xlogx(d + r) - _xlogx(d + l)
-            out_n, in_n = r.sum() + self_n, l.sum() + self_n
-            gain -= _xlogx(n_row + out_n) - _xlogx(n_row) + _xlogx(n_col + in_n) - _xlogx(n_col)
-            gain[0] = -np.inf
-            new = int(np.argmax(gain)) if gain[np.argmax(gain)] > gain[k] + 1e-9 else k
-            big[new] += r
-            big[:, new] += l
-            big[new, new] += self_n
+            k = of[u]
+            new, _ = _moved(big, k, right[u], left[u], table[u, u])
             if new != k:
                 moved += 1
                 of[u] = new
@@ -201,37 +291,52 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts = cut(counts, f"{work}/counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     all_n, all_v = int(total[0]), int(total[1])
-    # The least count that at most FREQUENT words reach.
-    levels = counts.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).limit(FREQUENT).toArrow()
+    clustered = int(np.ceil(4 * np.sqrt(all_n)))
+    classes = max(CLASSES, int(0.6 * all_n**0.25))
+    # The least count that at most this many words reach.
+    most = max(FREQUENT, clustered)
+    levels = counts.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).limit(most).toArrow()
     upto = np.cumsum(levels.column("n").to_numpy())
-    fits = int(np.searchsorted(upto, FREQUENT, side="right"))
+    fits = int(np.searchsorted(upto, most, side="right"))
     least = levels.column("c").to_numpy()[fits - 1] if fits else 1 << 62
     often = counts.filter(F.col("c") >= int(least)).toArrow()
     h, c, shape = (often.column(n).to_numpy() for n in ("h", "c", "shape"))
     h = h.view(U)
     order = np.argsort(h)
     h, c, shape = h[order], c[order].astype(np.float64), shape[order].astype(np.int64)
-    best = np.lexsort((h, -c))
-    best = np.sort(best[h[best] != END][:UNITS])
-    top = (h[best], 1 + SHAPES + np.arange(len(best)))
-    size = 1 + SHAPES + len(best)
-    grams = train.mapInArrow(lambda it, t=sc.broadcast(top): _bigrams(it, t, size), "prev int, units binary, counts binary")
-    grams = grams.repartition("prev").mapInArrow(lambda it: _summed(it, size), "prev int, row binary").toArrow()
-    table = np.zeros((size, size), np.int64)
-    for prev, row in zip(grams.column("prev").to_pylist(), grams.column("row").to_pylist()):
-        table[prev] = np.frombuffer(row, np.int64)
-    of = exchange(table)
-    member = np.zeros((size, CLASSES))
+    ranked = np.lexsort((h, -c))
+    ranked = ranked[h[ranked] != END][:clustered]
+    first = 1 + SHAPES + min(SEEDS, len(ranked))  # units by rank: the end, shapes, seeds, the other words
+    unit = np.full(len(h), -1)
+    unit[ranked] = 1 + SHAPES + np.arange(len(ranked))
+    best = np.sort(ranked)
+    top, size = (h[best], unit[best]), 1 + SHAPES + len(ranked)
+    # Seeds exchange over their own bigrams, other words counted by shape; then all words by theirs.
+    coarse = np.concatenate((np.arange(first), 1 + shape[ranked[first - 1 - SHAPES :]]))
+    table = _table(train, sc.broadcast((top, coarse)), first)
+    seeds = exchange(table, classes)
+    of = seeds[coarse]
+    member = np.zeros((first, classes))
+    member[np.arange(first), seeds] = 1
+    big = (member.T @ table @ member).astype(np.int64)
+    for n in range(PASSES if size > first else 0):
+        shared = sc.broadcast((top, of))
+        beside = train.mapInArrow(lambda it, t=shared: _contexts(it, t, first, classes), "unit long, slot int, n long")
+        beside = beside.repartition("unit").sortWithinPartitions("unit")
+        moved = beside.mapInArrow(lambda it, t=sc.broadcast((of, big.astype(np.float64))): _exchanged(it, t, classes), "unit long, class int").toArrow()
+        of = of.copy()
+        of[moved.column("unit").to_numpy()] = moved.column("class").to_numpy()
+        big = _table(train, sc.broadcast((top, of)), classes)
+    member = np.zeros((size, classes))
     member[np.arange(size), of] = 1
-    big = member.T @ table @ member
     # Distinct words of each unit: top words are one each, shapes have the rest.
     types = np.zeros(size)
     types[1 + SHAPES :] = 1
     for s, n in counts.filter(F.col("h") != int(END)).groupBy("shape").agg(F.count("*").alias("n")).collect():  # SHAPES rows
-        types[1 + s] = n - np.count_nonzero(shape[best] == s)
+        types[1 + s] = n - np.count_nonzero(shape[ranked] == s)
     types[0] = 1 if all_n else 0
     class_n, class_v = big.sum(0), member.T @ types
-    share = (class_n + 0.1 * (class_v + 1)) / (all_n + 0.1 * (all_v + CLASSES))
+    share = (class_n + 0.1 * (class_v + 1)) / (all_n + 0.1 * (all_v + classes))
     pull = 50.0
     move = (big + pull * share[None, :]) / (big.sum(1)[:, None] + pull)
     step = np.log10(move) - np.log10(class_n + 0.1 * (class_v + 1))[None, :]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,7 +20,13 @@ TIE_ORDER = (GDNA, ARTIFACT, BIDIRECTIONAL, NOVEL)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
+    """A fresh folder that driver and executors share: below ``spark.checkpoint.dir``,
+    or where that is unset, in local mode alone, a temporary one."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}/checkpoints"
     return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
 
 
@@ -52,6 +59,8 @@ def components(rows: DataFrame, pairs: DataFrame, id_col: str = "id") -> DataFra
         labels = new.select("node", "label")
         if not new.filter("old <> label").limit(1).count():
             break
+    else:
+        raise RuntimeError("clusters did not settle")
     return rows.join(labels.withColumnRenamed("node", id_col), id_col, "left").withColumn("cluster", F.coalesce("label", id_col)).drop("label")
 
 
@@ -89,7 +98,7 @@ def consensus(rows: DataFrame, cfg: MergeConfig) -> DataFrame:
     listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("id", c))), lambda x: x[c])
     g = member.groupBy("cluster").agg(
         F.first("chrom").alias("chrom"), F.min("s").alias("s"), F.max("e").alias("e"), F.count("*").alias("n_members"), F.sort_array(F.collect_set("sample")).alias("samples"),
-        listed("class").alias("member_classes"), listed("region_id").alias("member_region_ids"), *[mean(c) for c in ("unique_fraction", "dual_strand_fraction", "profile_correlation", "avg_depth")],
+        listed("class").alias("member_classes"), listed("region_id").alias("member_region_ids"), listed("sample").alias("member_samples"), *[mean(c) for c in ("unique_fraction", "dual_strand_fraction", "profile_correlation", "avg_depth")],
     )
     g = g.join(vote(member, ["cluster"], "class", "majority_class"), "cluster").join(vote(member, ["cluster"], "dominant_strand", "strand").drop("strand_votes"), "cluster")
     renamed = F.create_map(*[x for k, v in RENAMED.items() for x in (F.lit(k), F.lit(v))])

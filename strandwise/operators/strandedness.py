@@ -17,13 +17,18 @@ def sampled_exons(exons: DataFrame, most: int = 5_000) -> DataFrame:
     return rows.orderBy(F.xxhash64("chrom", "s", "e", "strand"), "chrom", "s", "e").limit(most)
 
 
-def votes(reads: DataFrame, exons: DataFrame) -> DataFrame:
+def votes(reads: DataFrame, exons: DataFrame, most: int | None = None) -> DataFrame:
     """One row: forward and reverse votes. A unique read votes once for every
-    exon row that it overlaps, as exons of several transcripts are kept."""
+    exon row that it overlaps, as exons of several transcripts are kept. Of more
+    votes than ``most``, from all over the genome, about so many count, by hash."""
     leads = has(FIRST) | ~has(PAIRED)
     aligned = F.when(has(REVERSE), "-").otherwise("+")
     rows = reads.select("chrom", "s", "e", F.when(leads, aligned).otherwise(flip(aligned)).alias("strand"))
     hits = overlap_join(rows, exons.select("chrom", "s", "e", "strand"), ["chrom"])
+    if most is not None:
+        total = hits.count()
+        if total > most:
+            hits = hits.filter(F.pmod(F.xxhash64(*hits.columns), F.lit(total)) < most)
     return hits.agg(F.count_if(F.col("a_strand") == F.col("b_strand")).alias("n_forward"), F.count_if(F.col("a_strand") != F.col("b_strand")).alias("n_reverse"))
 
 
@@ -41,8 +46,8 @@ def resolve(reads: DataFrame, exons: DataFrame, cfg: DetectConfig) -> dict:
     """The library's strandedness as a dict; an explicit choice isn't inferred."""
     if cfg.library_strandedness != "auto":
         return {"library": cfg.library_strandedness, "confidence": 1.0, "p_forward": None, "n_forward": 0, "n_reverse": 0}
-    some = reads.orderBy("chrom", "s", "e", "flag").limit(cfg.strand_infer_max_reads)
-    return decision(votes(some, sampled_exons(exons, cfg.strand_infer_max_exons)), cfg.strand_infer_min_confidence).first().asDict()
+    voted = votes(reads, sampled_exons(exons, cfg.strand_infer_max_exons), cfg.strand_infer_max_reads)
+    return decision(voted, cfg.strand_infer_min_confidence).first().asDict()
 
 
 def midpoint_in_mask(reads: DataFrame, mask: DataFrame, keys: list[str] = ["chrom"], width: int = 10_000) -> DataFrame:  # noqa: B006

@@ -42,6 +42,20 @@ def build(spark: SparkSession, cfg: MergeConfig, rows: DataFrame, sources: dict[
     return consensus.written(g, f"{consensus.shared_dir(spark)}/named"), long
 
 
+def nested(cross: list, labels: list[str]) -> dict:
+    """Crosstab rows as label -> by_consensus_class -> class -> type -> regions,
+    beside each class's n_regions and, where there are any, n_with_overlap."""
+    out: dict = {label: {"n_regions_with_overlap": 0, "by_consensus_class": {}} for label in labels}
+    for r in sorted(cross, key=lambda r: (r["label"], r["class"], r["ftype"] or "")):
+        entry = out[r["label"]]
+        of = entry["by_consensus_class"].setdefault(r["class"], {"n_regions": r["n_regions"]})
+        if r["ftype"] is None:
+            entry["n_regions_with_overlap"] += r["n_with"]
+        if r["n_with"]:
+            of["n_with_overlap" if r["ftype"] is None else r["ftype"]] = r["n_with"]
+    return out
+
+
 def run(spark: SparkSession, cfg: MergeConfig) -> dict:
     cfg.validate()
     rows = text.candidate_tables(spark, cfg.tsvs, cfg.sample_names)
@@ -68,7 +82,13 @@ def run(spark: SparkSession, cfg: MergeConfig) -> dict:
     summary = {"parameters": dataclasses.asdict(cfg) | {"n_samples_input": len(cfg.tsvs)}, **whole, **{f"n_{c}": counts.get(c, 0) for c in consensus.RENAMED.values()}}
     if long is not None:
         cross = overlay.crosstab(long.withColumnRenamed("cluster", "consensus_id"), passing.select(F.col("cluster").alias("consensus_id"), F.col("consensus_class").alias("class")))
-        summary["annotation"] = {"sources": [r.asDict() for r in overlay.source_stats(long).orderBy("label").collect()], "crosstab_passing": [r.asDict() for r in cross.orderBy("label", "class", "ftype").collect()]}  # rows by label, class and type
+        paths = text.overlay_paths(cfg.annotate, cfg.annotate_labels)
+        stats = {r["label"]: r.asDict() for r in overlay.source_stats(long).collect()}  # a row for each label
+        counted = {label: text.overlay_counts(spark, path, cfg.annotate_feature_types) for label, path in paths.items()}
+        summary["annotation"] = {
+            "sources": [stats.get(label, {"label": label}) | {"path": path} | counted[label] for label, path in paths.items()],
+            "crosstab_passing": nested(cross.collect(), list(paths)),  # rows by label, class and type
+        }
     files["summary"] = sinks.write_json(f"{out}.consensus_summary.json", summary)
     if cfg.emit_plots:
         files["plots"] = report.build(spark, cfg, g, rows, sources)

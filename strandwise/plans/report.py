@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import html
-import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,7 @@ from ..config import MergeConfig
 from ..functions.scalars import normalise_chrom
 from ..operators.coverage import max_pool
 from ..operators.intervals import overlap_join
+from ..sources import sinks
 
 BINS = 3500
 CHANNELS = [f"{k}_{s}" for k in ("unique", "dup", "multi") for s in ("plus", "minus")]
@@ -21,7 +21,7 @@ CHANNELS = [f"{k}_{s}" for k in ("unique", "dup", "multi") for s in ("plus", "mi
 def store_paths(cfg: MergeConfig) -> list[str]:
     """Stores that detect wrote beside the tables, as far as they are there."""
     beside = [re.sub(r"(\.candidate_regions)?\.tsv$", "", p) + ".coverage" for p in cfg.tsvs]
-    return [p for p in beside if os.path.exists(p)]
+    return [p for p in beside if sinks.exists(p)]
 
 
 def targets(g: DataFrame, cfg: MergeConfig) -> DataFrame:
@@ -81,7 +81,6 @@ def _page(locus: dict, cover: list, top: int, features: list, evidence: list) ->
 def build(spark: SparkSession, cfg: MergeConfig, g: DataFrame, rows: DataFrame, sources: dict[str, DataFrame]) -> str:
     """Writes the pages and an index, locus by locus; returns the folder."""
     folder = f"{cfg.out_prefix}_plots"
-    os.makedirs(folder, exist_ok=True)
     loci = targets(g, cfg)
     stores = None
     for path in cfg.coverage_stores or store_paths(cfg):
@@ -89,22 +88,26 @@ def build(spark: SparkSession, cfg: MergeConfig, g: DataFrame, rows: DataFrame,
         stores = one if stores is None else stores.unionByName(one)
     pooled = coverage_data(loci, stores) if stores is not None else None
     lane = lanes(loci, sources)
-    member = g.select("cluster", F.explode(F.arrays_zip("member_region_ids", "member_classes")).alias("m")).select("cluster", F.col("m.member_region_ids").alias("region_id")).distinct()
+    member = g.select("cluster", F.explode(F.arrays_zip("member_samples", "member_region_ids")).alias("m"))
+    member = member.select("cluster", F.col("m.member_samples").alias("sample"), F.col("m.member_region_ids").alias("region_id")).distinct()
     have = [c for c in ("sample", "region_id", "class", "reason_for_classification") if c in rows.columns]
-    evidence = member.join(rows.select(*have).dropDuplicates(["sample", "region_id"]), "region_id")
+    evidence = member.join(rows.select(*have).dropDuplicates(["sample", "region_id"]), ["sample", "region_id"])
     by = lambda df: df.groupBy("cluster").agg(F.collect_list(F.struct(*[c for c in df.columns if c != "cluster"])).alias("rows"))
     whole = loci.join(by(evidence).withColumnRenamed("rows", "evidence"), "cluster", "left")
     if pooled is not None:
         whole = whole.join(by(pooled.orderBy("x")).withColumnRenamed("rows", "cover"), "cluster", "left").join(y_scale(pooled), "cluster", "left")
     if lane is not None:
         whole = whole.join(by(lane).withColumnRenamed("rows", "lanes"), "cluster", "left")
-    index = []
+    index: list[tuple[str, str]] = []
+    used: set[str] = set()
     for r in whole.orderBy("chrom", "own_s").toLocalIterator():  # one locus at a time, bins bounded
         d = r.asDict(recursive=True)
-        name = re.sub(r"[^A-Za-z0-9_.-]+", "_", d["title"]) + ".html"
-        with open(f"{folder}/{name}", "w") as f:
-            f.write(_page(d, sorted(d.get("cover") or [], key=lambda x: (x["sample"], x["x"])), d.get("top") or 1, d.get("lanes") or [], d.get("evidence") or []))
+        stem = re.sub(r"[^A-Za-z0-9_.-]+", "_", d["title"])
+        name = f"{stem}.html" if stem not in used else f"{stem}_{len(index)}.html"  # titles can be alike without their signs
+        used.add(stem)
+        cover = sorted(d.get("cover") or [], key=lambda x: (x["sample"], x["x"]))
+        sinks.write_text(f"{folder}/{name}", _page(d, cover, d.get("top") or 1, d.get("lanes") or [], d.get("evidence") or []))
         index.append((name, d["title"]))
-    with open(f"{folder}/index.html", "w") as f:
-        f.write("<!doctype html><meta charset='utf-8'><title>Loci</title><ul>" + "".join(f'<li><a href="{html.escape(n)}">{html.escape(t)}</a></li>' for n, t in index) + "</ul>")
+    items = "".join(f'<li><a href="{html.escape(n)}">{html.escape(t)}</a></li>' for n, t in index)
+    sinks.write_text(f"{folder}/index.html", "<!doctype html><meta charset='utf-8'><title>Loci</title><ul>" + items + "</ul>")
     return folder

@@ -15,6 +15,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "name string, flag int, chrom string, s bigint, e bigint, mapq int, blocks array<struct<start:bigint,end:bigint,quals:array<int>>>"
 MAGIC = b"\x1f\x8b\x08\x04"
+#: Bytes of tags that a record may have for a place to pass as its start.
+MAX_TAGS = 16 << 20
 
 
 def _open(path: str):
@@ -127,11 +129,11 @@ class BamReader(DataSourceReader):
     def read(self, split: Split):
         _, refs, first, skip = read_header(self.path)
         names = [n for n, _ in refs]
-        f, total = _open(self.path)
+        f, _ = _open(self.path)
         if split.begin <= first:
             at, data = first, None
         else:
-            at, data, skip = self._start(f, split.begin, total, refs)
+            at, data, skip = self._start(f, split.begin, split.end, refs)
         if at is None or at >= split.end:
             return
         buf, k = b"", skip if data is None else skip
@@ -154,44 +156,72 @@ class BamReader(DataSourceReader):
             buf += more
             at = to
 
-    def _start(self, f, begin: int, total: int, refs):
-        """The first block at or after ``begin``, and in it the first record."""
-        f.seek(begin)
-        near = f.read(min(total - begin, 1 << 17))
-        k = near.find(MAGIC)
-        while k >= 0:
-            try:
-                data, to = _block(f, begin + k)
-                _block(f, to)
-                place = self._record(f, data, to, refs)
-                if place is not None or not data:
-                    return begin + k, data, place or 0
-            except (ValueError, zlib.error, struct.error):
-                pass
-            k = near.find(MAGIC, k + 1)
+    def _start(self, f, begin: int, end: int, refs):
+        """The first block from ``begin`` on, before ``end``, in which a record
+        starts, and the record's place in it. A long record can cover many blocks."""
+        at = self._block_at(f, begin, end)
+        while at is not None and at < end:
+            data, to = _block(f, at)
+            if to == at:
+                break
+            place = self._record(f, data, to, refs) if data else None
+            if place is not None:
+                return at, data, place
+            at = to
         return None, None, 0
 
+    @staticmethod
+    def _block_at(f, begin: int, end: int) -> int | None:
+        """The first place in [begin, end) where a block starts that another, or the file's end, follows."""
+        window = 1 << 17
+        for lo in range(begin, end, window):
+            f.seek(lo)
+            near = f.read(min(end - lo, window) + len(MAGIC) - 1)
+            k = near.find(MAGIC)
+            while k >= 0:
+                try:
+                    _, to = _block(f, lo + k)
+                    _block(f, to)
+                    return lo + k
+                except (ValueError, zlib.error, struct.error):
+                    k = near.find(MAGIC, k + 1)
+        return None
+
     @staticmethod
     def _record(f, data: bytes, to: int, refs) -> int | None:
-        """The first place in ``data`` from which plausible records follow one another."""
-        more = data
-        while len(more) < len(data) + (1 << 17):
-            extra, nxt = _block(f, to)
-            if nxt == to:
-                break
-            more, to = more + extra, nxt
+        """The first place in ``data`` from which plausible records follow one
+        another: three, or all to the file's end. Bytes behind ``data`` are read
+        as far as the records reach."""
+        more, nxt, ended = bytearray(data), to, False
+
+        def reach(n: int) -> bool:
+            nonlocal nxt, ended
+            while len(more) < n and not ended:
+                extra, at = _block(f, nxt)
+                ended = at == nxt
+                more.extend(extra)
+                nxt = at
+            return len(more) >= n
 
         def plausible(k: int) -> bool:
             seen = 0
-            while k + 36 <= len(more) and seen < 20:
+            while seen < 3:
+                if not reach(k + 36):
+                    return seen > 0 and k == len(more)
                 n, ref, pos, n_name, _, _, n_cigar, _, n_seq = struct.unpack_from("<iiiBBHHHi", more, k)
-                if not (-1 <= ref < len(refs) and -1 <= pos and (ref < 0 or pos <= refs[ref][1]) and n_name >= 1 and n_seq >= 0 and n >= 32 + n_name + 4 * n_cigar + (n_seq + 1) // 2 + n_seq):
+                fixed = 32 + n_name + 4 * n_cigar + (n_seq + 1) // 2 + n_seq
+                if not (-1 <= ref < len(refs) and -1 <= pos and (ref < 0 or pos <= refs[ref][1]) and n_name >= 2 and n_seq >= 0 and fixed <= n <= fixed + MAX_TAGS):
+                    return False
+                if not reach(k + 36 + n_name):
+                    return False
+                name = more[k + 36 : k + 36 + n_name]
+                if name[-1] or min(name[:-1]) < 33 or max(name[:-1]) > 126:
                     return False
-                if k + 36 + n_name <= len(more) and more[k + 35 + n_name] != 0:
+                if not reach(k + 4 + n):
                     return False
                 k += 4 + n
                 seen += 1
-            return seen > 0 and (seen >= 20 or k >= len(more) - 36)
+            return True
 
         return next((k for k in range(len(data)) if plausible(k)), None)
 

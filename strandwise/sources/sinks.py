@@ -4,8 +4,6 @@ from one sorted, coalesced partition; numbers are rounded as Python does it."""
 from __future__ import annotations
 
 import json
-import os
-import shutil
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,8 +48,22 @@ def table_text(rows: DataFrame, columns) -> DataFrame:
     return rows.select(*[_text(n, d, kinds[n]) for n, d in columns])
 
 
-def _local(path: str) -> str:
-    return path.removeprefix("file://")
+def write_text(path: str, content: str) -> str:
+    """One small file, through Hadoop's file system as the tables beside it."""
+    spark = SparkSession.getActiveSession()
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(content.encode()))
+    finally:
+        out.close()
+    return path
+
+
+def exists(path: str) -> bool:
+    spark = SparkSession.getActiveSession()
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
 def write_lines(rows: DataFrame, path: str, order: list, head: list[str] = ()) -> str:  # type: ignore[assignment]
@@ -127,10 +139,7 @@ def bedgraph_rows(rows: DataFrame, column: str, order: list[str]) -> DataFrame:
 
 
 def write_json(path: str, content: dict) -> str:
-    with open(_local(path), "w") as f:
-        json.dump(content, f, indent=2, default=float)
-        f.write("\n")
-    return path
+    return write_text(path, json.dumps(content, indent=2, default=float) + "\n")
 
 
 MULTIQC = ("annotated", "novel_transcript", "bidirectional_RNA", "gDNA", "multimapper_artifact", "other_unannotated")
@@ -139,11 +148,4 @@ MULTIQC = ("annotated", "novel_transcript", "bidirectional_RNA", "gDNA", "multim
 def write_multiqc(path: str, sample: str, counts: dict) -> str:
     """Configuration comments, a header and the sample's one row."""
     comments = ["# id: 'read_assignment'", "# section_name: 'Read assignment'", "# description: 'Reads by the class of the region they lie in'", "# plot_type: 'bargraph'", "# pconfig:", "#     id: 'read_assignment_plot'", "#     title: 'Read assignment'", "#     ylab: 'Reads'", "#     stacking: 'normal'"]
-    with open(_local(path), "w") as f:
-        f.write("\n".join([*comments, "\t".join(("Sample", *MULTIQC)), "\t".join((sample, *(str(int(counts[c])) for c in MULTIQC)))]) + "\n")
-    return path
-
-
-def remove(path: str) -> None:
-    if os.path.isdir(_local(path)):
-        shutil.rmtree(_local(path))
+    return write_text(path, "\n".join([*comments, "\t".join(("Sample", *MULTIQC)), "\t".join((sample, *(str(int(counts[c])) for c in MULTIQC)))]) + "\n")

@@ -7,6 +7,7 @@ lines of a file do: the split's offset, then the row within the split.
 from __future__ import annotations
 
 import gzip
+import itertools
 import os
 import re
 
@@ -36,24 +37,41 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("value"), ord_column())
 
 
-def annotation_lines(spark: SparkSession, path: str) -> DataFrame:
-    """GTF or GFF3 features from 0, half-open: chrom, source, ftype, s, e, strand,
-    attrs, ord. Comments, short lines and bad coordinates are left out."""
+def feature_lines(spark: SparkSession, path: str) -> DataFrame:
+    """GTF or GFF3 lines of nine fields as they are, bad coordinates as null."""
     f = F.split("value", "\t")
     rows = lines(spark, path).filter(~F.startswith("value", F.lit("#"))).select(f.alias("f"), "ord").filter(F.size("f") >= 9)
     at = lambda i: F.get("f", F.lit(i))
-    rows = rows.select(at(0).alias("chrom"), at(1).alias("source"), at(2).alias("ftype"), (F.trim(at(3)).try_cast("long") - 1).alias("s"), F.trim(at(4)).try_cast("long").alias("e"), at(6).alias("strand"), at(8).alias("text"), "ord")
+    return rows.select(at(0).alias("chrom"), at(1).alias("source"), at(2).alias("ftype"), (F.trim(at(3)).try_cast("long") - 1).alias("s"), F.trim(at(4)).try_cast("long").alias("e"), at(6).alias("strand"), at(8).alias("text"), "ord")
+
+
+def annotation_lines(spark: SparkSession, path: str) -> DataFrame:
+    """GTF or GFF3 features from 0, half-open: chrom, source, ftype, s, e, strand,
+    attrs, ord. Comments, short lines and bad coordinates are left out."""
+    rows = feature_lines(spark, path)
     return rows.filter("s is not null and e is not null").withColumn("attrs", attributes(F.col("text"))).drop("text")
 
 
+def overlay_counts(spark: SparkSession, path: str, types: tuple[str, ...] = ()) -> dict:
+    """n_features, n_skipped (bad or empty intervals among the wanted types) and
+    feature_types, the features by type."""
+    rows = feature_lines(spark, path)
+    if types:
+        rows = rows.filter(F.lower("ftype").isin([t.lower() for t in types]))
+    good = F.coalesce(F.col("e") > F.col("s"), F.lit(False))
+    by = rows.groupBy("ftype").agg(F.count_if(good).alias("n"), F.count_if(~good).alias("skipped")).orderBy("ftype").collect()  # a row for each type
+    return {"n_features": sum(r["n"] for r in by), "n_skipped": sum(r["skipped"] for r in by), "feature_types": {r["ftype"]: r["n"] for r in by if r["n"]}}
+
+
 def _attr(key: str):
     return F.try_element_at("attrs", F.lit(key))
 
 
 def genes(rows: DataFrame) -> DataFrame:
-    """Genes by id: the last line's values at the first line's place. Without gene
-    lines, spans of transcripts stand in for them."""
-    g = rows.filter("ftype = 'gene'").withColumn("gene_id", F.coalesce(_attr("gene_id"), F.lit("")))
+    """Genes by id: the last line's values at the first line's place. A line
+    without an id is a gene of its own place. Without gene lines, spans of
+    transcripts stand in for them."""
+    g = rows.filter("ftype = 'gene'").withColumn("gene_id", F.coalesce(_attr("gene_id"), F.concat(F.lit("gene@"), "chrom", F.lit(":"), F.col("s").cast("string"))))
     last = F.max_by(F.struct("chrom", "s", "e", "strand"), "ord")
     g = g.groupBy("gene_id").agg(last.alias("x"), F.min("ord").alias("ord")).select("x.*", "gene_id", "ord")
     if g.limit(1).count():
@@ -62,9 +80,9 @@ def genes(rows: DataFrame) -> DataFrame:
 
 
 def transcript_spans(rows: DataFrame) -> DataFrame:
-    """Least start and greatest end by transcript_id alone; the first line's
-    chromosome and strand."""
-    t = rows.withColumn("transcript_id", _attr("transcript_id")).filter("ftype in ('exon', 'transcript') and transcript_id is not null")
+    """Least start and greatest end of all lines with a transcript_id, by it
+    alone; the first line's chromosome and strand."""
+    t = rows.withColumn("transcript_id", _attr("transcript_id")).filter("transcript_id <> ''")
     return t.groupBy("transcript_id").agg(F.min_by("chrom", "ord").alias("chrom"), F.min("s").alias("s"), F.max("e").alias("e"), F.min_by("strand", "ord").alias("strand"), F.min("ord").alias("ord"))
 
 
@@ -107,36 +125,46 @@ LABEL_WORDS = (
 )
 
 
-def derive_label(path: str, used: set[str]) -> str:
-    """A label from a file's name: that of the first known word in it, or else
-    the longest part between full stops; made unlike those in ``used`` by a number."""
-    name = os.path.basename(path)
-    stem = re.sub(r"\.b?gz$", "", name, flags=re.I)
-    stem = re.sub(r"\.(gff3|gff|gtf|bed|txt|tsv)$", "", stem, flags=re.I)
-    known = [label for word, label in LABEL_WORDS if word in name.lower()]
-    label = (known or [max(filter(None, stem.split(".")), key=len, default="annotation")])[0]
-    label = re.sub(r"\W+", "_", label).strip("_").lower() or "annotation"
-    n, out = 2, label
-    while out in used:
-        out, n = f"{label}{n}", n + 1
-    return out
+#: The extensions of annotation files, and those of compression.
+FORMATS, PACKED = ("gff3", "gff", "gtf", "bed", "txt", "tsv"), ("gz", "bgz")
 
 
-def overlay_sources(spark: SparkSession, specs: tuple[str, ...], labels: tuple[str, ...] = (), types: tuple[str, ...] = ()) -> dict[str, DataFrame]:
-    """Label and features of each ``path`` or ``label=path``; explicit labels go first."""
+def derive_label(path: str, used: set[str]) -> str:
+    """A label for a file: what the first of LABEL_WORDS in its name stands for;
+    without one, the longest part between its full stops, extensions apart. The
+    first of label, label2, label3, ... that isn't used."""
+    name = os.path.basename(path).lower()
+    label = next((known for word, known in LABEL_WORDS if word in name), None)
+    if label is None:
+        parts = name.split(".")
+        for extensions in (PACKED, FORMATS):
+            if len(parts) > 1 and parts[-1] in extensions:
+                parts.pop()
+        words = re.findall(r"\w+", max(parts, key=len))
+        label = "_".join(words).strip("_") or "annotation"
+    return next(c for n in itertools.count(1) if (c := label + str(n) * (n > 1)) not in used)
+
+
+def overlay_paths(specs: tuple[str, ...], labels: tuple[str, ...] = ()) -> dict[str, str]:
+    """Label and path of each ``path`` or ``label=path``; explicit labels go first."""
     if labels and len(labels) != len(specs):
         raise ValueError("as many labels as annotation files are needed")
-    out: dict[str, DataFrame] = {}
+    out: dict[str, str] = {}
     for i, spec in enumerate(specs):
         head, eq, tail = spec.partition("=")
         own, path = (head, tail) if eq and re.fullmatch(r"\w+", head) else ("", spec)
         label = labels[i] if labels else own or derive_label(path, set(out))
         if label in out:
             raise ValueError(f"annotation label {label} is used twice")
-        out[label] = overlay_features(spark, path, label, types)
+        out[label] = path
     return out
 
 
+def overlay_sources(spark: SparkSession, specs: tuple[str, ...], labels: tuple[str, ...] = (), types: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """Features of each annotation file, by label."""
+    return {label: overlay_features(spark, path, label, types) for label, path in overlay_paths(specs, labels).items()}
+
+
 CANDIDATE_TEXT = {"region_id", "chrom", "class", "dominant_strand"}
 
 
@@ -177,7 +205,7 @@ def sam(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     f = F.split("value", "\t")
     at = lambda i: F.get("f", F.lit(i))
     body = rows.filter(~F.startswith("value", F.lit("@"))).select(f.alias("f")).filter(F.size("f") >= 11)
-    body = body.select(at(0).alias("name"), at(1).cast("int").alias("flag"), at(2).alias("chrom"), (at(3).cast("long") - 1).alias("s"), at(4).cast("int").alias("mapq"), at(5).alias("cigar"), at(10).alias("qual"))
+    body = body.select(at(0).alias("name"), at(1).try_cast("int").alias("flag"), at(2).alias("chrom"), (at(3).try_cast("long") - 1).alias("s"), at(4).try_cast("int").alias("mapq"), at(5).alias("cigar"), at(10).alias("qual"))
     return body.withColumn("blocks", cigar_blocks(F.col("cigar"), F.col("s"), F.col("qual"))).withColumn("e", F.coalesce(F.array_max(F.transform("blocks", lambda b: b["end"])), F.col("s") + 1)).drop("cigar", "qual"), sizes
 
 

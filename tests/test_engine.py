@@ -397,3 +397,64 @@ def test_gtf_rules(spark, tmp_path):
         text.sam(spark, str(tmp_path / "q.sam"))
     (tmp_path / "f.fai").write_text("c\t5\tx\nbad\nd\tz\nc\t7\n")
     assert [(r["chrom"], r["length"]) for r in text.chrom_sizes(spark, str(tmp_path / "f.fai")).collect()] == [("c", 7)]
+
+
+def test_bam_long_records_across_splits(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    head = b"@HD\tVN:1.6\tSO:coordinate\n@SQ\tSN:chr_test\tLN:9000000\n"
+    data = b"BAM\1" + struct.pack("<i", len(head)) + head + struct.pack("<ii", 1, 9) + b"chr_test\0" + struct.pack("<i", 9000000)
+    sizes = [120_000, 40, 90_000, 75, 75, 300_000, 60, 150_000, 10, 80_000]
+    for i, n in enumerate(sizes):
+        name = b"r%d\0" % i
+        body = rng.integers(0, 256, (n + 1) // 2, dtype=np.uint8).tobytes() + rng.integers(0, 42, n, dtype=np.uint8).tobytes()
+        rec = struct.pack("<iiBBHHHiiii", 0, 1000 * i, len(name), 60, 0, 1, 0, n, -1, -1, 0) + name + struct.pack("<I", n << 4) + body
+        data += struct.pack("<i", len(rec)) + rec
+    with open(tmp_path / "long.bam", "wb") as out:
+        for at in [*range(0, len(data), 30_000), None]:
+            part = b"" if at is None else data[at : at + 30_000]
+            c = zlib.compressobj(1, zlib.DEFLATED, -15)
+            body = c.compress(part) + c.flush()
+            out.write(b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<HBBHH", 6, 66, 67, 2, len(body) + 25) + body + struct.pack("<II", zlib.crc32(part), len(part)))
+    for split in (64_000, 200_000, 1 << 25):
+        got = bam.alignments(spark, str(tmp_path / "long.bam"), split=split).select("name", "s", "e").collect()
+        assert sorted((r["s"], r["e"]) for r in got) == [(1000 * i, 1000 * i + n) for i, n in enumerate(sizes)], split
+
+
+def test_strandedness_votes_come_from_all_exons(spark):
+    off = [("chr1", i, i + 75, 0) for i in range(200)]
+    on = [("chr2", 5000 + i % 40, 5075 + i % 40, 0) for i in range(150)]
+    reads = spark.createDataFrame(off + on, "chrom string, s long, e long, flag int")
+    exons = spark.createDataFrame([("chr2", 5000, 5200, "+")], "chrom string, s long, e long, strand string")
+    for most in (100, 200_000):
+        got = strandedness.resolve(reads, exons, DetectConfig(strand_infer_max_reads=most))
+        assert got["library"] == "forward" and got["confidence"] == 1.0 and 0 < got["n_forward"] <= 150
+        assert most > 100 or got["n_forward"] < 150
+
+
+def test_genes_without_ids_and_spans_of_any_line(spark, tmp_path):
+    (tmp_path / "g.gff3").write_text("".join(f"c1\tx\tgene\t{a}\t{a + 99}\t.\t+\t.\tNote=n\n" for a in (1, 501, 901)))
+    got = text.genes(text.annotation_lines(spark, str(tmp_path / "g.gff3"))).collect()
+    assert sorted(r["gene_id"] for r in got) == ["gene@c1:0", "gene@c1:500", "gene@c1:900"]
+    (tmp_path / "c.gtf").write_text("".join(f'c1\tx\tCDS\t{a}\t{a + 9}\t.\t-\t0\ttranscript_id "t1";\n' for a in (100, 300)))
+    got = text.genes(text.annotation_lines(spark, str(tmp_path / "c.gtf"))).collect()
+    assert [(r["gene_id"], r["s"], r["e"], r["strand"]) for r in got] == [("t1", 99, 309, "-")]
+
+
+def test_detect_options():
+    args = cli.parser().parse_args(
+        "detect --bam b --gtf g --out-prefix o --gdna-max-strand-length-ratio-diff 0.1 --gdna-min-profile-correlation 0.2 --gdna-min-depth-balance 0.3 --gdna-flat-cv-threshold 0.5".split()
+    )
+    assert (args.gdna_max_length_ratio_diff, args.gdna_min_correlation, args.gdna_min_depth_ratio, args.gdna_max_cv) == (0.1, 0.2, 0.3, 0.5)
+    with pytest.raises(SystemExit):
+        cli.parser().parse_args("detect --bam b --gtf g --out-prefix o --annotation-mode intron".split())
+
+
+def test_overlay_counts(spark, tmp_path):
+    (tmp_path / "o.gff3").write_text("1\tx\tenhancer\t5\t9\t.\t.\t.\tID=a\n1\tx\tenhancer\tfive\t9\t.\t.\t.\tID=b\n1\tx\tpromoter\t9\t5\t.\t.\t.\tID=c\nshort\tline\n")
+    assert text.overlay_counts(spark, str(tmp_path / "o.gff3")) == {"n_features": 1, "n_skipped": 2, "feature_types": {"enhancer": 1}}
+    assert text.overlay_counts(spark, str(tmp_path / "o.gff3"), ("Promoter",)) == {"n_features": 0, "n_skipped": 1, "feature_types": {}}
+
+
+@pytest.mark.parametrize("path,label", [("/a/My.Regulatory_Features.v1.gff3.gz", "regulatory"), ("x/hg38_rmsk.bed", "repeat"), ("sites.of.interest-2.gff.bgz", "interest_2"), (".gff3", "annotation"), ("--.tsv", "annotation")])
+def test_derived_labels(path, label):
+    assert text.derive_label(path, set()) == label and text.derive_label(path, {label, label + "2"}) == label + "3"
