@@ -60,6 +60,30 @@ def _valid(kind: str, v):
     return n.between(10, 15) if kind == "phone" else F.lit(True)
 
 
+#: Numbers that are summed one by one; longer arrays go by sums of runs of so many.
+RUN = 256
+
+
+def _let(value, f):
+    """f of a value that is computed once, however often f's result uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _total(numbers):
+    return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
+
+
+def _run_sums(numbers):
+    runs = F.sequence(F.lit(0), F.floor(F.size(numbers) / RUN).cast("int"))
+    return F.transform(runs, lambda k: _total(F.slice(numbers, k * RUN + 1, F.lit(RUN))))
+
+
+def _sum_to(numbers, sums, i):
+    """Sum of an array's entries up to place i, both included: whole runs, then the rest."""
+    run = F.floor(i / RUN).cast("int")
+    return _total(F.slice(sums, F.lit(1), run)) + _total(F.slice(numbers, run * RUN + 1, i - run * RUN + 1))
+
+
 def _kind_spans(text, kind: str):
     """Spans of one kind: what lies between the matches gives their places."""
     seen = text
@@ -69,16 +93,16 @@ def _kind_spans(text, kind: str):
     pattern = PATTERNS[kind]
     found = F.regexp_extract_all(seen, F.lit(pattern), 0)
     gaps = F.split(seen, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
 
-    def add(acc, pair):
-        at = acc["at"] + F.length(pair["gap"])
-        end = at + F.length(pair["hit"])
-        span = F.struct(at.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"), pair["hit"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def span(p, end):
+        return F.struct((end - F.length(p["hit"])).alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"), p["hit"].alias("value"))
+
+    def placed(pairs):
+        moves = F.transform(pairs, lambda p: F.length(p["gap"]) + F.length(p["hit"]))
+        return _let(moves, lambda m: _let(_run_sums(m), lambda sums: F.transform(pairs, lambda p, i: span(p, _sum_to(m, sums, i)))))
 
     pairs = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("hit")), lambda p: p["hit"].isNotNull())
-    spans = F.aggregate(pairs, start, add, lambda acc: acc["out"])
+    spans = _let(pairs, placed).cast(_SPAN)
     return F.when(there, F.filter(spans, lambda s: _valid(kind, s["value"]))).otherwise(F.array().cast(_SPAN))
 
 
@@ -158,7 +182,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     seen = base.select("row", F.explode(_terms(F.col("t"), F.col("base"))).alias("term"))
     counts = seen.join(checked(known), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     total = base.select(F.count("*").alias("all"))
-    told = pairs.join(counts, "term").join(of_kind, "entity").crossJoin(F.broadcast(total))  # one row
+    told = pairs.join(counts, "term").join(checked(of_kind), "entity").crossJoin(F.broadcast(total))  # one row
     pmi = F.log2(F.col("co") * F.col("all") / (F.col("df") * F.col("de")))
     told = told.filter((pmi >= alpha * F.log2(F.col("all") / F.col("de"))) & (F.col("de") < F.col("all"))).select("term").distinct()
     told = cut(told, f"{work}/told")
