@@ -80,30 +80,45 @@ def _with_ends(units: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, at + np.arange(n + 1)
 
 
-def _sequence(texts: list[bytes | None], top) -> tuple[np.ndarray, np.ndarray]:
-    """(units of all texts, each closed by an end; the unit before each)."""
-    shapes: list = [np.zeros(0, np.int64)]
-    h, at = word_hashes(texts, shapes)
-    seq, _ = _with_ends(_units(h, np.concatenate(shapes), top), at)
-    return seq, np.concatenate(([0], seq[:-1]))  # what stands before a text is an end
-
-
-def _bigrams(batches, shared, size: int):
-    """Counts of adjacent groups; ``shared`` has the top words and each unit's group."""
-    total, (top, of) = np.zeros(size * size, np.int64), shared.value
+def _unit_rows(batches, shared):
+    """Units of each text, closed by an end, as int32 bytes."""
     for b in batches:
         texts = b.column(0).to_pylist()
         for lo, hi in runs(texts):
-            seq, prev = _sequence(texts[lo:hi], top)
-            total += np.bincount(of[prev] * size + of[seq], minlength=size * size)
+            shapes: list = [np.zeros(0, np.int64)]
+            h, at = word_hashes(texts[lo:hi], shapes)
+            seq, first = _with_ends(_units(h, np.concatenate(shapes), shared.value), at)
+            bounds = pa.py_buffer((4 * first).astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), hi - lo, [None, bounds, pa.py_buffer(seq.astype("<i4").tobytes())])], ["units"])
+
+
+def _steps(batches, size: int = 1 << 18):
+    """(unit before, unit) of all places of ``_unit_rows``; what stands before a text is an end."""
+    for b in batches:
+        column = b.column(0)
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset :][: len(column) + 1]
+        if not len(column) or ends[0] == ends[-1]:
+            continue
+        seq, last = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view("<i4"), 0
+        for lo in range(0, len(seq), size):
+            part = seq[lo : lo + size].astype(np.int64)
+            yield np.concatenate(([last], part[:-1])), part
+            last = part[-1]
+
+
+def _bigrams(batches, shared, size: int):
+    """Counts of adjacent groups; ``shared`` has each unit's group."""
+    total, of = np.zeros(size * size, np.int64), shared.value
+    for prev, seq in _steps(batches):
+        total += np.bincount(of[prev] * size + of[seq], minlength=size * size)
     table = total.reshape(size, size)
     rows = np.flatnonzero(table.any(1))
     yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([np.flatnonzero(table[r]).astype("<u2").tobytes() for r in rows], pa.binary()), pa.array([table[r][table[r] > 0].astype("<i8").tobytes() for r in rows], pa.binary())], ["prev", "units", "counts"])
 
 
-def _table(train: DataFrame, shared, size: int) -> np.ndarray:
+def _table(units: DataFrame, shared, size: int) -> np.ndarray:
     """The summed table of adjacent groups, size x size."""
-    grams = train.mapInArrow(lambda it: _bigrams(it, shared, size), "prev int, units binary, counts binary")
+    grams = units.mapInArrow(lambda it: _bigrams(it, shared, size), "prev int, units binary, counts binary")
     grams = grams.repartition("prev").mapInArrow(lambda it: _summed(it, size), "prev int, row binary").toArrow()
     table = np.zeros((size, size), np.int64)
     for prev, row in zip(grams.column("prev").to_pylist(), grams.column("row").to_pylist()):
@@ -114,7 +129,7 @@ def _table(train: DataFrame, shared, size: int) -> np.ndarray:
 def _contexts(batches, shared, first: int, classes: int):
     """Counts of (unit, slot) for units from ``first`` on: slot c is class c
     before it, classes + c class c behind it, 2 * classes itself."""
-    top, of = shared.value
+    of = shared.value
     wide, parts, size = 2 * classes + 1, [], 0
 
     def merged():
@@ -127,21 +142,18 @@ def _contexts(batches, shared, first: int, classes: int):
     def rows(keys, counts):
         return pa.RecordBatch.from_arrays([pa.array(keys // wide), pa.array((keys % wide).astype(np.int32)), pa.array(counts)], ["unit", "slot", "n"])
 
-    for b in batches:
-        texts = b.column(0).to_pylist()
-        for lo, hi in runs(texts):
-            seq, prev = _sequence(texts[lo:hi], top)
-            own, back = seq >= first, prev >= first
-            keys = np.concatenate((seq[own] * wide + of[prev[own]], prev[back] * wide + classes + of[seq[back]], seq[own & (seq == prev)] * wide + 2 * classes))
-            if len(keys):
-                parts.append(np.unique(keys, return_counts=True))
-                size += len(parts[-1][0])
-            if size > FLUSH:
-                parts = [merged()]
-                size = len(parts[0][0])
-                if size > FLUSH // 2:
-                    yield rows(*parts[0])
-                    parts, size = [], 0
+    for prev, seq in _steps(batches):
+        own, back = seq >= first, prev >= first
+        keys = np.concatenate((seq[own] * wide + of[prev[own]], prev[back] * wide + classes + of[seq[back]], seq[own & (seq == prev)] * wide + 2 * classes))
+        if len(keys):
+            parts.append(np.unique(keys, return_counts=True))
+            size += len(parts[-1][0])
+        if size > FLUSH:
+            parts = [merged()]
+            size = len(parts[0][0])
+            if size > FLUSH // 2:
+                yield rows(*parts[0])
+                parts, size = [], 0
     if parts:
         yield rows(*merged())
 
@@ -313,20 +325,21 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     top, size = (h[best], unit[best]), 1 + SHAPES + len(ranked)
     # Seeds exchange over their own bigrams, other words counted by shape; then all words by theirs.
     coarse = np.concatenate((np.arange(first), 1 + shape[ranked[first - 1 - SHAPES :]]))
-    table = _table(train, sc.broadcast((top, coarse)), first)
+    units = cut(train.mapInArrow(lambda it, t=sc.broadcast(top): _unit_rows(it, t), "units binary"), f"{work}/units")
+    table = _table(units, sc.broadcast(coarse), first)
     seeds = exchange(table, classes)
     of = seeds[coarse]
     member = np.zeros((first, classes))
     member[np.arange(first), seeds] = 1
     big = (member.T @ table @ member).astype(np.int64)
     for n in range(PASSES if size > first else 0):
-        shared = sc.broadcast((top, of))
-        beside = train.mapInArrow(lambda it, t=shared: _contexts(it, t, first, classes), "unit long, slot int, n long")
+        shared = sc.broadcast(of)
+        beside = units.mapInArrow(lambda it, t=shared: _contexts(it, t, first, classes), "unit long, slot int, n long")
         beside = beside.repartition("unit").sortWithinPartitions("unit")
         moved = beside.mapInArrow(lambda it, t=sc.broadcast((of, big.astype(np.float64))): _exchanged(it, t, classes), "unit long, class int").toArrow()
         of = of.copy()
         of[moved.column("unit").to_numpy()] = moved.column("class").to_numpy()
-        big = _table(train, sc.broadcast((top, of)), classes)
+        big = _table(units, sc.broadcast(of), classes)
     member = np.zeros((size, classes))
     member[np.arange(size), of] = 1
     # Distinct words of each unit: top words are one each, shapes have the rest.
