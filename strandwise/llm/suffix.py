@@ -173,7 +173,7 @@ def _classes(batches):
     """Sorted by class, whole, text, lo: drops repeated rows and classes of one
     segment; marks whether the segment repeats as a whole, whether it stands for
     its equals in a class of several kinds, and whether these are very many."""
-    held = None
+    held: list = []  # of the class that the last batch ended in
 
     def marked(t):
         c, w, x, lo = (t.column(k).to_numpy() for k in range(4))
@@ -194,14 +194,18 @@ def _classes(batches):
         return full.filter(pa.array(keep))
 
     for b in batches:
-        t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+        t = pa.Table.from_batches([b])
         c = t.column(0).to_numpy()
         last = int(np.searchsorted(c, c[-1])) if len(c) else 0
-        if last:
+        if held and len(c) and (last or held[0].column(0)[0].as_py() != c[0]):  # the class before ends
+            yield marked(pa.concat_tables([*held, t.slice(0, last)]).combine_chunks().to_batches()[0])
+            held = []
+        elif last:
             yield marked(t.slice(0, last).combine_chunks().to_batches()[0])
-        held = t.slice(last)
-    if held is not None and held.num_rows:
-        yield marked(held.combine_chunks().to_batches()[0])
+        if len(c):
+            held.append(t.slice(last))
+    if held:
+        yield marked(pa.concat_tables(held).combine_chunks().to_batches()[0])
 
 
 def _bytes(batches):
