@@ -161,6 +161,8 @@ def _contexts(batches, shared, first: int, classes: int):
 def _exchanged(batches, shared, classes: int):
     """Rows (unit, slot, n), sorted by unit: each unit's best class."""
     of, big = shared.value
+    # Words that move at the same time would all take the same empty class.
+    empty = big.sum(0) + big.sum(1) == 0
     rest, out = None, []
 
     def settle(unit, slot, n):
@@ -168,7 +170,7 @@ def _exchanged(batches, shared, classes: int):
         np.add.at(counts, slot, n)
         table = big.copy()
         left, right, self_n = counts[:classes], counts[classes:-1], counts[-1]
-        out.append((unit, _moved(table, int(of[unit]), right, left, self_n)[0]))
+        out.append((unit, _moved(table, int(of[unit]), right, left, self_n, empty)[0]))
 
     for b in batches:
         cols = [c.to_numpy() for c in b.columns]
@@ -197,10 +199,11 @@ def _xlogx(x):
     return x * np.log(np.maximum(x, 1))
 
 
-def _moved(big: np.ndarray, k: int, right: np.ndarray, left: np.ndarray, self_n: float) -> tuple[int, float]:
+def _moved(big: np.ndarray, k: int, right: np.ndarray, left: np.ndarray, self_n: float, closed: np.ndarray | None = None) -> tuple[int, float]:
     """Moves a unit of class k to the class of most likelihood, in the class
     bigrams ``big`` too; ``right`` and ``left`` are its counts with the classes
-    behind and before it, with itself among them. The class and the gain."""
+    behind and before it, with itself among them; it can't move to a ``closed``
+    class. The class and the gain."""
     r, l = right.copy(), left.copy()  # noqa: E741
     r[k] -= self_n
     l[k] -= self_n
@@ -215,6 +218,8 @@ def _moved(big: np.ndarray, k: int, right: np.ndarray, left: np.ndarray, self_n:
     out_n, in_n = r.sum() + self_n, l.sum() + self_n
     gain -= _xlogx(n_row + out_n) - _xlogx(n_row) + _xlogx(n_col + in_n) - _xlogx(n_col)
     gain[0] = -np.inf
+    if closed is not None:
+        gain[closed & (np.arange(len(gain)) != k)] = -np.inf
     best = int(np.argmax(gain))
     new = best if gain[best] > gain[k] + 1e-9 else k
     big[new] += r

@@ -431,3 +431,122 @@ def test_word_hashes_follow_words():
     long = b" ".join(b"w%d" % i for i in range(400_000))
     h, at = textvec.word_hashes([long])
     assert at.tolist() == [0, 400_000] and len(set(h.tolist())) == 400_000
+
+
+def test_op3_points(spark):
+    ids = [0, 1, 2, 12345, 1 << 40, (1 << 41) - 1]
+    got = spark.createDataFrame([(i,) for i in ids], "id long").select("id", mixing.points(F.col("id")).alias("x")).collect()
+    assert all(r["x"] == (r["id"] * mixing.PHI + mixing.PHI // 2) % mixing.ONE for r in got)
+
+
+def test_op3_repeated_rows_and_blocks(spark):
+    """Rows that repeat share nothing but their id; a tiny source gets its target whatever the block."""
+    rows = [(1, "a", "s0"), (1, "a", "s0"), (1, "b c", "s0"), (2, "x " * 30, "s1"), (3, "y " * 4000, "s2"), (4, "z " * 900, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plans = {}
+    for block in (1, 128):
+        plan, pieces, slots = (x.collect() for x in mixing.mix(d, block=block))
+        assert sorted((r["doc_id"], r["size"]) for r in plan) == sorted((i, len(t.split())) for i, t, _ in rows)
+        taken = Counter()
+        for r in plan:
+            assert r["taken"] <= 3 * r["size"]
+            taken[r["source"]] += r["taken"]
+        for r in plan:
+            assert abs(taken[r["source"]] - r["target"]) <= 0.5
+        assert taken["s0"] == 12 and taken["s1"] == 90  # both stopped at three times their words
+        plans[block] = sorted((r["doc_id"], r["size"], r["taken"]) for r in plan)
+        assert len({r["slot"] for r in slots}) == len(slots) and sum(r["n_words"] for r in pieces) == sum(taken.values())
+        of = {(r["number"], r["block"]) for r in slots}
+        assert len(of) == len(slots) and all(sum(n == m for n, _ in of) == 1 + max(b for n, b in of if n == m) for m in {n for n, _ in of})
+        order = sorted(slots, key=lambda r: r["slot"])
+        shares = {r["number"]: 0 for r in slots}
+        for k, r in enumerate(order[:200], 1):  # the replayed schedule follows the targets
+            shares[r["number"]] += 1
+            if block == 1:
+                total = sum(taken.values())
+                names = {1: "s0", 2: "s1", 3: "s2", 4: None}
+                assert all(abs(n - k * taken[names[m]] / total) < 4 for m, n in shares.items())
+    assert plans[1] == plans[128]
+
+
+def test_op5_repeated_ids(spark):
+    w = [f"w{i}" for i in range(40)]
+    rows = [(5, " ".join(w)), (5, "other words than those before in this row"), (7, " ".join(w[:-1] + ["end"])), (8, "other words than those before in this row"), (None, " ".join(w)), (None, "alone with no id at all here")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(d).collect()), key=repr)
+    assert got == sorted([(5, 5, True), (5, 5, True), (7, 5, False), (8, 5, False), (None, 5, False), (None, None, False)], key=repr)
+    left = sorted(((r["doc_id"], r["text"]) for r in neardup.representatives(d).collect()), key=repr)
+    assert left == sorted([rows[0], rows[1], rows[5]], key=repr)
+
+
+def test_op6_other_tokenizers(spark, tmp_path):
+    """A byte-level tokenizer keeps spaces in its pieces, so whole texts are encoded."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    assert not records.separable(lib) and records.separable(Tokenizer.from_file(queries.vocabulary()))
+    texts = [(1, "Hello  there\n\n 12"), (2, None), (3, " é ́x")]
+    folder = shared_dir(spark)
+    records.write_records(spark.createDataFrame(texts, "doc_id long, text string"), folder, path, 2)
+    want, start = [], 0
+    for i, t in texts:
+        ids = [*lib.encode(t or "", add_special_tokens=False).ids, 2]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert rows(records.read_records(spark, folder), "doc_id", "start", "n_tokens", "ids_crc32") == want
+
+
+def test_op6_runs_that_look_alike():
+    """Letters and forms for which setting signs apart or lowering could change ids."""
+    import pyarrow as pa
+
+    texts = ["<|ENDOFTEXT|> a,b", "H\u0331 X", "x<|endoftext|>, K.", "I\u0307s, A.b,C \u0130,x \u2126\u03a3. \u03a3", "\u0958, \u0930\u093c. d'S, 's,'t", "", None, "A,,b..C!?d'll, it's. %5,a"]
+    for block in ([t] for t in texts):
+        coder = records.Encoder(queries.vocabulary())
+        ids, at = coder.encode(pa.array(block, pa.string()))
+        assert ids.tolist() == coder.lib.encode(block[0] or "", add_special_tokens=False).ids and at.tolist() == [0, len(ids)]
+
+
+def test_op8_conflicting_and_null_labels(spark):
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 1, None), (3, None, None), (4, None, 1), (None, 1, 0), (5, 1, 1)], "doc_id long, quality int, toxic int")
+    graded = {r["doc_id"]: r["grade"] for r in quality.grades(labels).filter("grade is not null and doc_id is not null").groupBy("doc_id").agg(F.min("grade").alias("grade")).collect()}
+    assert graded == {1: 0, 2: 2, 4: 1, 5: 1}
+    d = spark.createDataFrame([(i, f"word{i} text", "x") for i in range(6)] + [(None, None, "x")], "doc_id long, text string, score string")
+    first, again = (quality.rate(d.repartition(n), labels.repartition(n)) for n in (1, 4))
+    assert rows(first, "doc_id", "score") == rows(again, "doc_id", "score") and first.count() == 7
+
+
+def test_op8_is_a_cumulative_link_model():
+    """fit reaches the likelihood of a plain search over two weights and two thresholds."""
+    rng = np.random.default_rng(3)
+    x = rng.random((400, 2)) < 0.5
+    s = 2.0 * x[:, 0] - 1.5 * x[:, 1] + rng.logistic(size=400)
+    grades = (s > -0.5).astype(int) + (s > 1.0)
+    feats = [np.flatnonzero(np.append(r, True)).astype(np.int32) for r in x]
+    w, t = quality.fit(feats, grades, steps=1500, ridge=0.0, sure=0.0)
+
+    def loss(a, b, t1, t2):
+        z = a * x[:, 0] + b * x[:, 1]
+        p1, p2 = 1 / (1 + np.exp(t1 - z)), 1 / (1 + np.exp(t2 - z))
+        return -np.log(np.choose(grades, (1 - p1, p1 - p2, p2)).clip(1e-12)).mean()
+
+    own = loss(w[0], w[1], t[0] - w[2], t[1] - w[2])
+    plain = min(loss(a, b, t1, t1 + g) for a in np.arange(1, 3.1, 0.25) for b in np.arange(-2.5, 0, 0.25) for t1 in np.arange(-1.5, 1, 0.25) for g in np.arange(0.75, 2.6, 0.25))
+    assert t[0] < t[1] and own < plain + 0.01
+
+
+def test_op7_words_beyond_the_seeds_get_classes(spark, monkeypatch):
+    """With few seeds the words of two alternating kinds still fall apart, and the model gains by it."""
+    rng = np.random.default_rng(9)
+    kinds = [[f"a{i}x" for i in range(60)], [f"b{i}x" for i in range(60)]]
+    texts = [(i, " ".join(kinds[k % 2][rng.integers(0, 60)] for k in range(60))) for i in range(400)]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    monkeypatch.setattr(brown, "SEEDS", 20)
+    score = {}
+    for n in (0, 2):
+        monkeypatch.setattr(brown, "PASSES", n)
+        score[n] = brown.score_texts(d).filter("held_out").agg(F.sum("score")).first()[0]
+    base = brown.score_texts(d).filter("held_out").agg(F.sum("base_score")).first()[0]
+    assert score[2] > score[0] and score[2] > base

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from strandwise.llm import mixing, quality, queries
@@ -62,3 +63,82 @@ def test_near_dedup_from_80_percent(spark):
 
 def test_run(spark):
     assert pipeline.run(spark, SF).count() > 0 and pipeline.ORACLE_SQL is None and WORD.findall("a b") == ["a", "b"]
+
+
+def messy(spark):
+    """Documents with nulls, empty texts, repeated rows and ids, and columns named as the operators' own."""
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    more = [(9001, None, None, None, None), (9002, "", "en", None, 0), (None, rows[3][1], "en", "src1", 1), (None, None, "en", "src1", 1), (9003, rows[4][1], "en", None, 5), (9003, rows[4][1], "en", None, 5), (9003, rows[9][1] + " more", "en", "src2", 5)]
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    d = spark.createDataFrame(rows + more, schema)
+    for n, name in enumerate(("size", "w", "score", "kept", "expected_grade", "tails", "row", "key", "turn", "id", "h", "t", "doc", "component", "label")):
+        d = d.withColumn(name, F.concat(F.lit(f"{n}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    return d
+
+
+def whole(rows):
+    return Counter(tuple(sorted((k, str(v)) for k, v in r.asDict().items())) for r in rows)
+
+
+def test_stages_on_messy_rows(spark):
+    """Every stage but the last gives rows of its input, unchanged, and what a plain version gives."""
+    stage, docs = dict(pipeline.STAGES), messy(spark)
+    before = docs.collect()
+    for name in list(stage)[:-1]:
+        got = stage[name](spark, docs, SF).collect()
+        assert all(set(r.asDict()) == set(docs.columns) for r in got)
+        had, has = whole(before), whole(got)
+        assert set(has) <= set(had) and (name == "mix" or all(has[k] <= had[k] for k in has)), name
+        if name == "near_dedup":
+            worded = [r for r in before if WORD.findall(r["text"] or "")]
+            plain = brute_groups([shingles(r["text"]) for r in worded], 80)
+            first = {}
+            for g, r in zip(plain, worded):
+                at = (r["doc_id"] is None, r["doc_id"] or 0)
+                first[g] = min(first.get(g, at), at)
+            stays = Counter(first.values())
+            assert Counter((r["doc_id"] is None, r["doc_id"] or 0) for r in got if WORD.findall(r["text"] or "")) == stays
+            assert sum(not WORD.findall(r["text"] or "") for r in got) == len(before) - len(worded)
+        if name == "decontaminate":
+            items = [shingles(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+            hit = {r["doc_id"] for r in before if any(b and 100 * len(shingles(r["text"]) & b) >= 80 * len(b) for b in items)} - {None}
+            assert whole(got) == whole([r for r in before if r["doc_id"] not in hit])
+        if name == "mix":
+            plan = mixing.mix(docs)[0].collect()
+            taken, size = Counter(), Counter()
+            for r in plan:
+                taken[r["doc_id"]] += r["taken"]
+                size[r["doc_id"]] = max(size[r["doc_id"]], r["size"])
+            times = Counter(r["doc_id"] for r in got)
+            assert all(abs(times[i] * size[i] - taken[i]) <= size[i] * sum(r["doc_id"] == i for r in plan) for i in size if sum(r["doc_id"] == i for r in plan) == 1)
+        docs = spark.createDataFrame(got, docs.schema)
+        before = got
+    ids = sorted(((r["doc_id"] is not None, r["doc_id"] or 0) for r in before))
+    out = stage["records"](spark, docs, SF).collect()
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in out) == ids
+    at = 0
+    for r in sorted(out, key=lambda r: r["start"]):
+        assert r["start"] == at
+        at += r["n_tokens"]
+
+
+def brute_groups(sets, percent):
+    of = list(range(len(sets)))
+
+    def root(i):
+        while of[i] != i:
+            i = of[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+                of[max(root(i), root(j))] = min(root(i), root(j))
+    return [root(i) for i in range(len(sets))]
+
+
+def test_stages_on_empty_tables(spark):
+    docs = spark.createDataFrame([], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    for name, stage in pipeline.STAGES:
+        got = stage(spark, docs, SF)
+        assert got.count() == 0 and (name == "records" or got.columns == docs.columns)
