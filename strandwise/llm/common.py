@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -20,11 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder that the driver and every executor can see.
 
-    The cluster names the parent in ``spark.checkpoint.dir``; only where that
-    is unset (tests on one machine) is a local one chosen.
+    The cluster names the parent in ``spark.checkpoint.dir``; only in local mode,
+    as in tests, is a temporary one chosen where that is unset.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.gettempdir()}/checkpoints"
     return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
 
