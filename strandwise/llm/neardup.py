@@ -90,11 +90,17 @@ def _sets(batches, k: int):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.view(np.int64)))], ["node", "items"])
 
 
+def _apart(f):
+    """f(x, y) of two set columns, evaluated outside generated code: the loops of
+    set operations, fused with joins, can cost the compiler far over 1 GB."""
+    return F.element_at(F.transform(F.array(F.struct("x", "y")), lambda p: f(p["x"], p["y"])), 1)
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= percent * union of full sets."""
     left = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
     right = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
-    both = pairs.join(left, "b").join(right, "a").withColumn("i", F.size(F.array_intersect("x", "y")).cast("long"))
+    both = pairs.join(left, "b").join(right, "a").withColumn("i", _apart(lambda x, y: F.size(F.array_intersect(x, y))).cast("long"))
     return both.filter(100 * F.col("i") >= percent * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b")
 
 
@@ -106,7 +112,8 @@ def _differences(star: DataFrame, sets: DataFrame, work: str) -> DataFrame:
     centers = cut(arms.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a"), f"{work}/centers")
     left = star.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
     both = spread(left, centers, ["a"], "arms")
-    return both.select("a", "b", F.size("x").alias("n_a"), F.size("y").alias("n_b"), F.concat(F.array_except("x", "y"), F.array_except("y", "x")).alias("d"))
+    differ = _apart(lambda x, y: F.concat(F.array_except(x, y), F.array_except(y, x)))
+    return both.select("a", "b", F.size("x").alias("n_a"), F.size("y").alias("n_b"), differ.alias("d"))
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, work: str) -> tuple[DataFrame, DataFrame]:
