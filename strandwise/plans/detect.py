@@ -18,11 +18,11 @@ log = logging.getLogger("strandwise")
 KEYS = ["chrom"]
 
 
-def alignments(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def alignments(spark: SparkSession, path: str, quals: bool = True) -> tuple[DataFrame, DataFrame]:
     """(alignments, chrom_sizes) of a BAM, SAM or Parquet input; Parquet tables
     have chrom sizes beside them as ``<path>.sizes``."""
     if path.endswith(".bam"):
-        return bam.alignments(spark, path), bam.chrom_sizes(spark, path)
+        return bam.alignments(spark, path, quals=quals), bam.chrom_sizes(spark, path)
     if path.endswith(".parquet"):
         return spark.read.parquet(path), spark.read.parquet(f"{path}.sizes")
     return text.sam(spark, path)
@@ -79,7 +79,7 @@ def store_segments(placed: DataFrame, sizes: DataFrame, mask: DataFrame, cfg: De
 def run(spark: SparkSession, cfg: DetectConfig) -> dict:
     """Reads the inputs of ``cfg``, writes all its files, and returns the summary."""
     cfg.validate()
-    aligned, sizes = alignments(spark, cfg.bam)
+    aligned, sizes = alignments(spark, cfg.bam, cfg.min_baseq > 0)
     if cfg.fai:
         for r in size_mismatches(sizes, text.chrom_sizes(spark, cfg.fai)).collect():  # a row for each chromosome at most
             log.warning("%s: %d bases in the alignments, %d in the index", *r)

@@ -11,10 +11,20 @@ from __future__ import annotations
 import struct
 import zlib
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual,
+)
 
 SCHEMA = "name string, flag int, chrom string, s bigint, e bigint, mapq int, blocks array<struct<start:bigint,end:bigint,quals:array<int>>>"
 MAGIC = b"\x1f\x8b\x08\x04"
+#: Records of an Arrow batch, fewer where they hold this many aligned bases' qualities.
+BATCH, BATCH_QUALS = 4096, 1 << 22
+#: The index's bins by level, the number of the first and the bits of a bin's length; a bin for statistics.
+BINS = ((0, 29), (1, 26), (9, 23), (73, 20), (585, 17), (4681, 14))
+STATISTICS_BIN = 37450
 #: Bytes of tags that a record may have for a place to pass as its start.
 MAX_TAGS = 16 << 20
 
@@ -92,14 +102,56 @@ def chrom_sizes(spark, path: str):
     return spark.createDataFrame([(n, ln, i) for i, (n, ln) in enumerate(refs)], "chrom string, length long, ordinal int")
 
 
-def parse(rec: bytes, names: list[str]) -> tuple:
+def read_index(path: str) -> list[tuple[np.ndarray, np.ndarray]] | None:
+    """By chromosome (rows of bin, begin and end of a chunk; offsets by 16 kb), or
+    None without an index. Offsets are a block's place times 65,536 plus the place in it."""
+    for name in (f"{path}.bai", f"{path.removesuffix('.bam')}.bai"):
+        try:
+            f, size = _open(name)
+        except FileNotFoundError:
+            continue
+        data = f.read(size)
+        if data[:4] != b"BAI\1":
+            raise ValueError(f"{name} is not an index")
+        k, out = 8, []
+        for _ in range(struct.unpack_from("<i", data, 4)[0]):
+            n_bin, chunks = struct.unpack_from("<i", data, k)[0], []
+            k += 4
+            for _ in range(n_bin):
+                number, n = struct.unpack_from("<Ii", data, k)
+                ends = np.frombuffer(data, "<u8", 2 * n, k + 8).reshape(n, 2)
+                if number != STATISTICS_BIN:
+                    chunks.append(np.column_stack([np.full(n, number, "u8"), ends]))
+                k += 8 + 16 * n
+            n = struct.unpack_from("<i", data, k)[0]
+            out.append((np.concatenate(chunks) if chunks else np.zeros((0, 3), "u8"), np.frombuffer(data, "<u8", n, k + 4)))
+            k += 4 + 8 * n
+        return out
+    return None
+
+
+def index_span(chunks: np.ndarray, linear: np.ndarray, lo: int, hi: int | None) -> tuple[int, int] | None:
+    """The offsets between which all records lie that overlap [lo, hi), or None."""
+    level = np.searchsorted([b for b, _ in BINS], chunks[:, 0].astype("i8"), "right") - 1
+    first, bits = np.array(BINS, "i8")[level].reshape(-1, 2).T
+    at = chunks[:, 0].astype("i8") - first
+    near = ((at + 1) << bits > lo) & ((at << bits) < (1 << 62 if hi is None else hi))
+    if not near.any():
+        return None
+    begin, end = int(chunks[near, 1].min()), int(chunks[near, 2].max())
+    if lo >> 14 < len(linear):
+        begin = max(begin, int(linear[lo >> 14]))
+    return (begin, end) if begin < end else None
+
+
+def parse(rec: bytes, names: list[str], with_quals: bool = True) -> tuple:
     """A row from a record without its size."""
     ref, pos, n_name, mapq, _, n_cigar, flag, n_seq = struct.unpack_from("<iiBBHHHi", rec, 0)
     k = 32 + n_name
     ops = struct.unpack_from(f"<{n_cigar}I", rec, k)
     k += 4 * n_cigar + (n_seq + 1) // 2
     qual = rec[k : k + n_seq]
-    quals = None if not n_seq or qual[:1] == b"\xff" else list(qual)
+    quals = None if not with_quals or not n_seq or qual[:1] == b"\xff" else list(qual)
     r, q, out = pos, 0, []
     for op in ops:
         n, kind = op >> 4, op & 15
@@ -112,25 +164,84 @@ def parse(rec: bytes, names: list[str]) -> tuple:
     return rec[32 : 31 + n_name].decode(), flag, names[ref] if ref >= 0 else None, pos, r if r > pos else pos + 1, mapq, out
 
 
+def to_batch(rows: list[tuple]) -> pa.RecordBatch:
+    name, flag, chrom, s, e, mapq, blocks = zip(*rows)
+    flat = [b for own in blocks for b in own]
+    fields = [pa.array([b[i] for b in flat], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int32())))]
+    nested = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, blocks)]), pa.int32()), pa.StructArray.from_arrays(fields, ["start", "end", "quals"]))
+    plain = [pa.array(v, kind) for v, kind in zip((name, flag, chrom, s, e, mapq), (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32()))]
+    return pa.RecordBatch.from_arrays([*plain, nested], ["name", "flag", "chrom", "s", "e", "mapq", "blocks"])
+
+
 class Split(InputPartition):
-    def __init__(self, begin: int, end: int):
-        self.begin, self.end = begin, end
+    """Blocks from ``begin`` to ``end``; with ``skip``, the first record's place in
+    the first of them; with ``ref``, records of that chromosome alone."""
+
+    def __init__(self, begin: int, end: int, skip: int | None = None, ref: int | None = None):
+        self.begin, self.end, self.skip, self.ref = begin, end, skip, ref
 
 
 class BamReader(DataSourceReader):
-    def __init__(self, path: str, size: int):
-        self.path, self.size = path, size
+    def __init__(self, path: str, size: int, with_quals: bool = True):
+        self.path, self.size, self.with_quals = path, size, with_quals
+        self.chroms: set[str] | None = None
+        self.lo, self.hi = 0, None  # records end behind lo and start before hi
+
+    def pushFilters(self, filters):
+        """Notes what the filters rule out; all go back to Spark, which applies them again."""
+        for f in filters:
+            column, value = getattr(f, "attribute", None), getattr(f, "value", None)
+            if column == ("chrom",) and isinstance(f, (EqualTo, In)):
+                some = {value} if isinstance(f, EqualTo) else set(value)
+                self.chroms = some if self.chroms is None else self.chroms & some
+            if column in (("s",), ("e",)) and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+                self.lo = max(self.lo, value - 1 if column == ("e",) and not isinstance(f, GreaterThan) else value)
+            if column == ("s",) and isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
+                bound = value if isinstance(f, LessThan) else value + 1
+                self.hi = bound if self.hi is None else min(self.hi, bound)
+            yield f
 
     def partitions(self):
         _, total = _open(self.path)
-        n = max(1, -(-total // self.size))
-        return [Split(i * self.size, min(total, (i + 1) * self.size)) for i in range(n)]
+        spans = [(0, total, None, None)]
+        index = None if self.chroms is None else read_index(self.path)
+        if index is not None:
+            _, refs, _, _ = read_header(self.path)
+            spans = []
+            for ref, (name, _) in enumerate(refs):
+                span = index_span(*index[ref], self.lo, self.hi) if name in self.chroms else None
+                if span:
+                    spans.append((span[0] >> 16, min(total, (span[1] >> 16) + 1), span[0] & 0xFFFF, ref))
+        return [Split(at, min(end, at + self.size), skip if at == begin else None, ref) for begin, end, skip, ref in spans for at in range(begin, end, self.size)] or [Split(0, 0)]
 
     def read(self, split: Split):
-        _, refs, first, skip = read_header(self.path)
+        rows, quals = [], 0
+        for r in self._rows(split):
+            rows.append(r)
+            quals += sum(len(q) for _, _, q in r[6] if q)
+            if len(rows) == BATCH or quals >= BATCH_QUALS:
+                yield to_batch(rows)
+                rows, quals = [], 0
+        if rows:
+            yield to_batch(rows)
+
+    def _rows(self, split: Split):
+        if split.begin == split.end:
+            return
+        text, refs, first, skip = read_header(self.path)
         names = [n for n, _ in refs]
+        wanted = None
+        if split.ref is not None:
+            wanted = {split.ref}
+        elif self.chroms is not None:
+            wanted = {i for i, n in enumerate(names) if n in self.chroms}
+        if wanted is not None and not wanted:
+            return
+        ordered = any("SO:coordinate" in line.split("\t") for line in text.splitlines() if line.startswith("@HD"))
         f, _ = _open(self.path)
-        if split.begin <= first:
+        if split.skip is not None:
+            at, data, skip = split.begin, None, split.skip
+        elif split.begin <= first and split.ref is None:
             at, data = first, None
         else:
             at, data, skip = self._start(f, split.begin, split.end, refs)
@@ -145,7 +256,13 @@ class BamReader(DataSourceReader):
                 return
             if len(buf) - k >= 4 and len(buf) - k >= 4 + struct.unpack_from("<i", buf, k)[0]:
                 n = struct.unpack_from("<i", buf, k)[0]
-                yield parse(buf[k + 4 : k + 4 + n], names)
+                ref, pos = struct.unpack_from("<ii", buf, k + 4)
+                if ordered and wanted is not None and (ref < 0 or ref > max(wanted) or (ref == max(wanted) and self.hi is not None and pos >= self.hi)):
+                    return  # all that follow lie behind
+                if (wanted is None or ref in wanted) and (self.hi is None or pos < self.hi):
+                    row = parse(buf[k + 4 : k + 4 + n], names, self.with_quals)
+                    if row[4] > self.lo or not self.lo:
+                        yield row
                 k += 4 + n
                 continue
             more, to = _block(f, at)
@@ -227,7 +344,7 @@ class BamReader(DataSourceReader):
 
 
 class BamDataSource(DataSource):
-    """Options: path; split (bytes of a split, 32 MB by default)."""
+    """Options: path; split (bytes of a split, 32 MB by default); quals (false: no base qualities)."""
 
     @classmethod
     def name(cls):
@@ -237,9 +354,17 @@ class BamDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return BamReader(self.options["path"], int(self.options.get("split", 32 << 20)))
+        return BamReader(self.options["path"], int(self.options.get("split", 32 << 20)), str(self.options.get("quals", "true")).lower() == "true")
 
 
-def alignments(spark, path: str, split: int = 32 << 20):
+def alignments(spark, path: str, split: int = 32 << 20, quals: bool = True):
+    """All records. Spark hands filters to Python sources only where
+    ``spark.sql.python.filterPushdown.enabled`` is set, so it is set here."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(BamDataSource)
-    return spark.read.format("bam").option("path", path).option("split", split).load()
+    return spark.read.format("bam").option("path", path).option("split", split).option("quals", quals).load()
+
+
+def overlapping(spark, path: str, chrom: str, s: int, e: int, **options):
+    """Records that overlap [s, e) of a chromosome; of an unknown one, none."""
+    return alignments(spark, path, **options).filter((F.col("chrom") == chrom) & (F.col("s") < e) & (F.col("e") > s))

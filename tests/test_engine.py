@@ -458,3 +458,68 @@ def test_overlay_counts(spark, tmp_path):
 @pytest.mark.parametrize("path,label", [("/a/My.Regulatory_Features.v1.gff3.gz", "regulatory"), ("x/hg38_rmsk.bed", "repeat"), ("sites.of.interest-2.gff.bgz", "interest_2"), (".gff3", "annotation"), ("--.tsv", "annotation")])
 def test_derived_labels(path, label):
     assert text.derive_label(path, set()) == label and text.derive_label(path, {label, label + "2"}) == label + "3"
+
+
+def write_sorted_bam(path, reads_, sizes, block):
+    """A BAM file of (chromosome, start, length) in order, and its index."""
+    head = b"@HD\tVN:1.6\tSO:coordinate\n"
+    data = b"BAM\1" + struct.pack("<i", len(head)) + head + struct.pack("<i", len(sizes))
+    for i, n in enumerate(sizes):
+        data += struct.pack("<i", 3) + b"c%d\0" % i + struct.pack("<i", n)
+    places = []
+    for i, (ref, s, n) in enumerate(reads_):
+        name = b"r%d\0" % i
+        rec = struct.pack("<iiBBHHHiiii", ref, s, len(name), 60, 0, 1, 0, 0, -1, -1, 0) + name + struct.pack("<I", n << 4)
+        places.append(len(data))
+        data += struct.pack("<i", len(rec)) + rec
+    places.append(len(data))
+    starts = []
+    with open(path, "wb") as out:
+        for at in [*range(0, len(data), block), None]:
+            part = b"" if at is None else data[at : at + block]
+            starts.append(out.tell())
+            c = zlib.compressobj(1, zlib.DEFLATED, -15)
+            body = c.compress(part) + c.flush()
+            out.write(b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<HBBHH", 6, 66, 67, 2, len(body) + 25) + body + struct.pack("<II", zlib.crc32(part), len(part)))
+    offset = lambda p: starts[p // block] << 16 | p % block
+    index = b"BAI\1" + struct.pack("<i", len(sizes))
+    for r in range(len(sizes)):
+        bins, linear = {}, {}
+        for i, (ref, s, n) in enumerate(reads_):
+            if ref != r:
+                continue
+            number = next((first + (s >> bits) for first, bits in reversed(bam.BINS) if s >> bits == (s + n - 1) >> bits), 0)
+            bins.setdefault(number, []).append((offset(places[i]), offset(places[i + 1])))
+            for w in range(s >> 14, ((s + n - 1) >> 14) + 1):
+                linear.setdefault(w, offset(places[i]))
+        index += struct.pack("<i", len(bins) + 1) + struct.pack("<Ii4Q", bam.STATISTICS_BIN, 2, 1, 2, 3, 4)
+        for number, chunks in bins.items():
+            index += struct.pack("<Ii", number, len(chunks)) + b"".join(struct.pack("<QQ", *c) for c in chunks)
+        n = max(linear, default=-1) + 1
+        index += struct.pack("<i", n) + b"".join(struct.pack("<Q", linear.get(w, 0)) for w in range(n))
+    (path.parent / f"{path.name}.bai").write_bytes(index)
+
+
+def test_bam_scans_by_chromosome_and_range(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    sizes = [400_000, 90_000, 50_000, 600_000]
+    reads_ = sorted((int(r), int(s), int(n)) for r, s, n in zip(rng.choice([0, 1, 3], 1500), rng.integers(0, 80_000, 1500), rng.choice([50, 75, 9_000], 1500)))
+    reads_ += [(3, 300_000, 100_000), (3, 500_000, 20), (-1, -1, 0)]
+    write_sorted_bam(tmp_path / "x.bam", reads_, sizes, 3000)
+    wanted = [("c0", 0, 400_000), ("c1", 16_384, 16_385), ("c1", 20_000, 41_000), ("c2", 0, 9), ("c3", 350_000, 360_000), ("c3", 79_000, 600_000), ("c9", 0, 9)]
+    read_all = bam.BamReader(str(tmp_path / "x.bam"), 2000)
+    for indexed in (True, False):
+        for split in (9000, 1 << 25) if indexed else (9000,):
+            for chrom, s, e in wanted if split == 9000 else wanted[1:4]:
+                got = bam.overlapping(spark, str(tmp_path / "x.bam"), chrom, s, e, split=split)
+                want = sorted((a, a + n) for r, a, n in reads_ if f"c{r}" == chrom and a < e and a + n > s)
+                assert sorted((r["s"], r["e"]) for r in got.select("s", "e").collect()) == want, (indexed, split, chrom, s, e)
+            df = bam.alignments(spark, str(tmp_path / "x.bam"), split=split)
+            assert df.count() == len(reads_)
+            assert df.filter("chrom in ('c1', 'c3') and s >= 70000").count() == sum(r in (1, 3) and s >= 70_000 for r, s, _ in reads_)
+            assert df.filter("chrom is null").count() == 1 and df.filter("s < 5").count() == sum(s < 5 for _, s, _ in reads_)
+        if indexed:
+            narrow = bam.BamReader(str(tmp_path / "x.bam"), 2000)
+            list(narrow.pushFilters([bam.EqualTo(("chrom",), "c1"), bam.LessThan(("s",), 100), bam.GreaterThan(("e",), 50)]))
+            assert 0 < len(narrow.partitions()) < len(read_all.partitions()) / 2
+            (tmp_path / "x.bam.bai").unlink()
