@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.scalars import reverse_complement, wrap
 
 
+def exon_tiles(transcripts: DataFrame, tile: int) -> DataFrame:
+    """A row for each exon (x) and tile that it touches; ``from`` is its start, 0 at least."""
+    parts = transcripts.select("name", "chrom", F.explode(F.array_sort("exons")).alias("x")).filter("x.s < x.e")
+    parts = parts.withColumn("from", F.greatest(F.col("x.s"), F.lit(0))).filter("from < x.e")
+    return parts.withColumn("tile", F.explode(F.sequence(F.floor(F.col("from") / tile), F.floor((F.col("x.e") - 1) / tile))))
+
+
 def extract(transcripts: DataFrame, genome: DataFrame, tile: int) -> DataFrame:
     """``transcripts`` (name, chrom, strand, exons array<struct<s,e>>) with seq.
 
@@ -15,9 +22,7 @@ def extract(transcripts: DataFrame, genome: DataFrame, tile: int) -> DataFrame:
     Exons go in order; unknown chromosomes and bases past the end give nothing;
     transcripts with an empty sequence are left out.
     """
-    parts = transcripts.select("name", "chrom", F.explode(F.array_sort("exons")).alias("x")).filter("x.s < x.e")
-    parts = parts.withColumn("from", F.greatest(F.col("x.s"), F.lit(0)))
-    parts = parts.withColumn("tile", F.explode(F.sequence(F.floor(F.col("from") / tile), F.floor((F.col("x.e") - 1) / tile))))
+    parts = exon_tiles(transcripts, tile)
     a = F.greatest(F.col("from"), F.col("tile") * tile) - F.col("tile") * tile
     b = F.least(F.col("x.e"), (F.col("tile") + 1) * tile) - F.col("tile") * tile
     got = parts.join(genome.select("chrom", "tile", "seq"), ["chrom", "tile"]).withColumn("piece", F.upper(F.substring("seq", (a + 1).cast("int"), (b - a).cast("int"))))

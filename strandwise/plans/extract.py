@@ -16,7 +16,11 @@ def run(spark: SparkSession, genome: str, gtf: str, out: str, source: str | None
     if width < 1:
         raise ValueError("line width must be 1 or more")
     wanted = text.transcripts(spark, gtf, source)
-    got = sequence.extract(wanted, text.genome(spark, genome, TILE), TILE)
+    if sinks.exists(f"{genome}.fai") and not genome.endswith((".gz", ".bgz")):
+        tiles = text.indexed_genome(spark, genome, sequence.exon_tiles(wanted, TILE), TILE)
+    else:
+        tiles = text.genome(spark, genome, TILE)
+    got = sequence.extract(wanted, tiles, TILE)
     rows = sequence.fasta_lines(got, width).join(wanted.select("name", "ord"), "name")
     sinks.write_lines(rows, out, ["ord"])
     return got.agg(F.count("*")).first()[0]

@@ -234,7 +234,7 @@ def cigar_blocks(cigar, start, qual):
 def genome(spark: SparkSession, path: str, tile: int = 65_536) -> DataFrame:
     """A FASTA file as tiles: chrom, tile, seq. Lines get their place by sums of
     lengths within records; a file's lines are numbered in one task, as FASTA
-    files don't say where their records start."""
+    files don't say where their records start. ``indexed_genome`` does without."""
     rows = lines(spark, path).filter("value <> ''")
     order = Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     head = F.startswith("value", F.lit(">"))
@@ -247,6 +247,35 @@ def genome(spark: SparkSession, path: str, tile: int = 65_536) -> DataFrame:
     return pieces.groupBy("chrom", "tile").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda p: p["piece"]), "").alias("seq"))
 
 
+def indexed_genome(spark: SparkSession, path: str, wanted: DataFrame, tile: int = 65_536) -> DataFrame:
+    """The tiles of ``wanted`` (chrom, tile) alone, of an uncompressed FASTA file
+    with an index ``<path>.fai``: each is read at its place, in any task."""
+    f = F.split("value", "\t")
+    at = lambda i: F.trim(F.get(f, F.lit(i)))
+    index = lines(spark, f"{path}.fai").filter(F.size(f) >= 5).select(at(0).alias("chrom"), *[at(i + 1).try_cast("long").alias(n) for i, n in enumerate(("length", "offset", "bases", "width"))], "ord")
+    index = index.filter("length > 0 and offset >= 0 and bases > 0 and width >= bases")
+    index = index.groupBy("chrom").agg(F.max_by(F.struct("length", "offset", "bases", "width"), "ord").alias("x")).select("chrom", "x.*")
+    a, b = F.col("tile") * tile, F.least((F.col("tile") + 1) * tile, F.col("length"))
+    place = lambda p: F.col("offset") + F.floor(p / F.col("bases")) * F.col("width") + p % F.col("bases")
+    rows = wanted.select("chrom", "tile").distinct().join(index, "chrom").filter((F.col("tile") >= 0) & (a < F.col("length")))
+    rows = rows.select("chrom", "tile", place(a).alias("begin"), (place(b - 1) + 1).alias("end")).sortWithinPartitions("begin")
+
+    def read(batches):
+        from .bam import _open
+
+        genome_file, _ = _open(path)
+        for batch in batches:
+            for k in range(0, len(batch), 64):
+                part = batch.iloc[k : k + 64]
+                seqs = []
+                for begin, end in zip(part["begin"], part["end"]):
+                    genome_file.seek(int(begin))
+                    seqs.append(genome_file.read(int(end - begin)).translate(None, b"\r\n").decode())
+                yield pd.DataFrame({"chrom": part["chrom"].array, "tile": part["tile"].array, "seq": seqs})
+
+    return rows.mapInPandas(read, "chrom string, tile long, seq string")
+
+
 def transcripts(spark: SparkSession, path: str, source: str | None = None) -> DataFrame:
     """Transcripts of a GTF with exons, in first-seen order (ord): name, chrom,
     strand, exons, attrs. Without exon lines the span is the one exon."""

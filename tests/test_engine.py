@@ -15,7 +15,7 @@ from strandwise.functions import scalars
 from strandwise.operators import classify, consensus, context, coverage, overlay, reads, strandedness
 from strandwise.operators.intervals import islands, nearest, overlap_join, union_length
 from strandwise.operators.metrics import region_metrics
-from strandwise.plans import extract, merge
+from strandwise.plans import extract, merge, report
 from strandwise.sources import bam, text
 
 KEYS = ["chrom"]
@@ -523,3 +523,37 @@ def test_bam_scans_by_chromosome_and_range(spark, tmp_path):
             list(narrow.pushFilters([bam.EqualTo(("chrom",), "c1"), bam.LessThan(("s",), 100), bam.GreaterThan(("e",), 50)]))
             assert 0 < len(narrow.partitions()) < len(read_all.partitions()) / 2
             (tmp_path / "x.bam.bai").unlink()
+
+
+def test_pages_have_genes_and_evidence(spark, tmp_path):
+    candidates_file(tmp_path / "A.tsv", 0), candidates_file(tmp_path / "B.tsv", 10)
+    (tmp_path / "r.gtf").write_text('1\ts\tgene\t12500\t13100\t.\t+\t.\tgene_id "near<1>";\n1\ts\texon\t12500\t12600\t.\t+\t.\tgene_id "near<1>"; transcript_id "t";\n1\ts\tgene\t900000\t900100\t.\t+\t.\tgene_id "far";\n')
+    merge.run(spark, MergeConfig(tsvs=(str(tmp_path / "A.tsv"), str(tmp_path / "B.tsv")), out_prefix=str(tmp_path / "p"), emit_plots=True, reference_gtf=str(tmp_path / "r.gtf")))
+    page = (tmp_path / "p_plots" / "consensus_transcript_1.html").read_text()
+    assert "gene near&lt;1&gt; 12500-13100 +" in page and "far" not in page and "exon" not in page and "mean_avg_depth" in page
+    assert report.shown(0.123456) == "0.123" and report.shown(None) == "NA" and report.shown(12345.678) == "1.23e+04"
+    assert report.reference_genes(spark, str(tmp_path / "none.gtf")) == {} and report.reference_genes(spark, None) == {}
+
+
+def test_indexed_genome(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    seq = {f"c{i}": "".join(rng.choice(list("acgtACGTN"), n)) for i, n in enumerate((1000, 61, 60, 0, 7))}
+    data, index = "", ""
+    for k, (name, s) in enumerate(seq.items()):
+        data += f">{name} some text\r\n"
+        end = "\r\n" if k % 2 == 0 else "\n"
+        index += f"{name}\t{len(s)}\t{len(data)}\t60\t{60 + len(end)}\n"
+        data += "".join(s[i : i + 60] + end for i in range(0, len(s), 60))
+    (tmp_path / "g.fa").write_bytes(data.encode())
+    (tmp_path / "g.fa.fai").write_text(index)
+    wanted = spark.createDataFrame([(c, t) for c in (*seq, "c9") for t in range(-1, 30)] * 2, "chrom string, tile long")
+    got = {(r["chrom"], r["tile"]): r["seq"] for r in text.indexed_genome(spark, str(tmp_path / "g.fa"), wanted, 100).collect()}
+    assert got == {(c, i // 100): s[i : i + 100] for c, s in seq.items() for i in range(0, len(s), 100)}
+    plain = {(r["chrom"], r["tile"]): r["seq"] for r in text.genome(spark, str(tmp_path / "g.fa"), 100).collect()}
+    assert plain == got
+    exons = [("c0", "+", (1, 5)), ("c0", "-", (90, 215)), ("c1", "+", (50, 400)), ("c3", "+", (1, 9)), ("c9", "+", (1, 9))]
+    (tmp_path / "t.gtf").write_text("".join(f'{c}\ts\texon\t{s}\t{e}\t.\t{d}\t.\ttranscript_id "t{i}";\n' for i, (c, d, (s, e)) in enumerate(exons)))
+    extract.run(spark, str(tmp_path / "g.fa"), str(tmp_path / "t.gtf"), str(tmp_path / "with.fa"))
+    (tmp_path / "g.fa.fai").unlink()
+    extract.run(spark, str(tmp_path / "g.fa"), str(tmp_path / "t.gtf"), str(tmp_path / "without.fa"))
+    assert (tmp_path / "with.fa").read_text() == (tmp_path / "without.fa").read_text() and (tmp_path / "with.fa").read_text().count(">") == 3
