@@ -6,8 +6,10 @@ equal places, so they meet in one class, and a document's windows fall into
 segments of consecutive windows with one minimizer occurrence. Segments travel
 as hashes first; only classes with two segments that aren't equal throughout
 need bytes. Segments that are equal throughout repeat as a whole. Classes of
-very many different segments are dealt by ranges of the windows' offsets from
-the minimizer, equal windows again meeting.
+very many different segments are dealt again, by ranges of the windows' offsets
+from the minimizer and the bytes that all windows of a range share, in up to
+three stages of ever smaller ranges; equal windows again meet, and at last a
+range is one offset and a class one window's copies.
 
 Suffix sorting: the bytes of a run of classes form one string. The difference
 cover {1, 2} mod 3 is sorted by triples, named, and sorted recursively on the
@@ -21,6 +23,7 @@ A text's copies are collapsed to one before all this. Texts are known by their
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -34,8 +37,8 @@ from .textvec import PIECE, U, mix, powers, splitmix
 LENGTH, GRAM = 200, 32
 #: Bytes of segments that one suffix sort takes; a larger class is cut by the windows' places in it.
 SORT_BYTES = 2 << 20
-#: Classes of more different segments than this are dealt by ranges of so many offsets.
-LARGE, RANGE = 1000, 8
+#: Classes of more different segments than this are dealt again, by ranges of so many offsets in each stage.
+LARGE, RANGES = 1000, (64, 8, 1)
 _BYTE = splitmix(256, 31)
 
 
@@ -46,15 +49,16 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         return np.array(sorted(range(n), key=lambda i: text[i:].tolist()), np.int64)
     t = np.concatenate((text, np.zeros(3, np.int64)))
     base = int(t.max()) + 1
-    if base > 1 << 20:  # triples have to fit in 63 bits
+    if base > 1 << 20:
         t = np.unique(t, return_inverse=True)[1].astype(np.int64)
         base = int(t.max()) + 1
-        if base > 1 << 20:
-            raise ValueError("text too long for one sort")
+    lead = t[:-1] * base + t[1:]
+    if base * base * max(base, n + 3) >= 1 << 63:  # pairs by number, so that triples fit in 63 bits
+        lead = np.unique(lead, return_inverse=True)[1].astype(np.int64)
     one = np.arange(1, n + (n % 3 == 1), 3)  # with one past the end if that evens the halves
     two = np.arange(2, n, 3)
     cover = np.concatenate((one, two))
-    triple = (t[cover] * base + t[cover + 1]) * base + t[cover + 2]
+    triple = lead[cover] * base + t[cover + 2]
     order = np.argsort(triple, kind="stable")
     name = np.empty(len(cover), np.int64)
     name[order] = np.cumsum(np.concatenate(([1], triple[order][1:] != triple[order][:-1])))
@@ -69,7 +73,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     zero = zero[np.argsort(t[zero] * wide + rank[zero + 1], kind="stable")]
     ones, twos = sorted12[sorted12 % 3 == 1], sorted12[sorted12 % 3 == 2]
     below = np.searchsorted(t[ones] * wide + rank[ones + 1], t[zero] * wide + rank[zero + 1])
-    pair = lambda i: (t[i] * base + t[i + 1]) * wide + rank[i + 2]
+    pair = lambda i: lead[i] * wide + rank[i + 2]
     below += np.searchsorted(pair(twos), pair(zero))
     out = np.empty(n, np.int64)
     place = below + np.arange(len(zero))
@@ -169,10 +173,10 @@ def _dealt(batches):
         yield pa.RecordBatch.from_arrays([pa.array(cls, mask=~new), pa.array(whole, mask=~new), pa.array(text), pa.array(lo), pa.array(n), pa.array(again & new)], ["class", "whole", "text", "lo", "n", "again"])
 
 
-def _classes(batches):
+def _classes(batches, most: int):
     """Sorted by class, whole, text, lo: drops repeated rows and classes of one
     segment; marks whether the segment repeats as a whole, whether it stands for
-    its equals in a class of several kinds, and whether these are very many."""
+    its equals in a class of several kinds, and whether these are more than ``most``."""
     held: list = []  # of the class that the last batch ended in
 
     def marked(t):
@@ -190,7 +194,7 @@ def _classes(batches):
         kinds = np.add.reduceat(new_w.astype(np.int64), np.flatnonzero(new_c))[np.cumsum(new_c) - 1]
         multi, differs = size_w > 1, kinds > 1
         keep = multi | differs
-        full = pa.RecordBatch.from_arrays([*(t.column(k) for k in (0, 2, 3, 4)), pa.array(multi), pa.array(new_w & differs), pa.array(kinds > LARGE)], ["class", "text", "lo", "n", "multi", "sorts", "large"])
+        full = pa.RecordBatch.from_arrays([*(t.column(k) for k in (0, 2, 3, 4)), pa.array(multi), pa.array(new_w & differs), pa.array(kinds > most)], ["class", "text", "lo", "n", "multi", "sorts", "large"])
         return full.filter(pa.array(keep))
 
     for b in batches:
@@ -209,26 +213,61 @@ def _classes(batches):
 
 
 def _bytes(batches):
-    """Segments with their bytes under a key for the sort: their class, or in
-    large classes their class and a range of offsets from the minimizer, for
-    equal windows have equal offsets."""
+    """Segments with their bytes, from the run of their text's bytes that starts at ``base`` and holds them."""
     for b in batches:
-        out: list[list] = [[], [], [], [], []]
-        for key, text, segs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+        out: list[list] = [[], [], [], [], [], []]
+        for key, base, text, segs in zip(*(c.to_pylist() for c in b.columns)):
             for s in segs:
-                seg = text[s["lo"] : s["lo"] + s["n"] + LENGTH - 1]
-                parts = [(0, 0, s["n"])]
-                if s["large"]:
-                    at = _minimizer(np.frombuffer(seg, np.uint8))
-                    # The window at i stands at - i before the minimizer.
-                    parts = [(1 + d // RANGE, max(0, at - d - RANGE + 1), min(s["n"], at - d + 1)) for d in range(0, at + 1, RANGE)]
-                for part, first, end in parts:
-                    if first < end:
-                        dealt = (s["class"] + part * 0x9E3779B97F4A7C15 + (1 << 63)) % (1 << 64) - (1 << 63)
-                        for c, v in zip(out, (dealt, key, s["lo"] + first, s["multi"], seg[first : end + LENGTH - 1])):
-                            c.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["class", "text", "lo", "multi", "seg"])
+                at, size = s["lo"] - base, s["n"] + LENGTH - 1
+                if 0 <= at <= len(text) - size:
+                    for c, v in zip(out, (s["class"], key, s["lo"], s["multi"], s["large"], text[at : at + size])):
+                        c.append(v)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["class", "text", "lo", "multi", "large", "seg"])
+
+
+def _dealt_again(batches, span: int):
+    """Segments of large classes in parts of windows that start in one range of
+    ``span`` offsets before the minimizer. A part's class is its segment's, the
+    range and a hash of the bytes that all windows of the range cover: equal
+    windows have equal offsets, so they agree in all three."""
+    grams, low = LENGTH - GRAM + 1, ~U((1 << 24) - 1)
+
+    def parts(run):
+        cls, text, lo, n = (np.array(c) for c in list(zip(*run))[:4])
+        data = np.frombuffer(b"".join(r[4] for r in run), np.uint8)
+        start = np.concatenate(([0], np.cumsum(n[:-1] + LENGTH - 1)))
+        up, down = powers(len(data) + 1)
+        with np.errstate(over="ignore"):
+            total = np.zeros(len(data) + 1, U)
+            np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
+            h = mix((total[GRAM:] - total[:-GRAM]) * down[: len(data) - GRAM + 1])
+        at = np.argmin(h[start[:, None] + np.arange(grams)] & low, axis=1)
+        # The window at i stands at - i before the minimizer: ranges from that of the last window to that of the first.
+        least = (at - n + 1) // span
+        count = at // span - least + 1
+        of = np.repeat(np.arange(len(n)), count)
+        part = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + least[of]
+        top = at[of] - part * span  # the range's last window, within the segment or past its last one
+        first, last = np.maximum(0, top - span + 1), np.minimum(n[of] - 1, top)
+        inner, windows = start[of] + top, last - first + 1
+        a, e = start[of] + first, start[of] + last + LENGTH
+        with np.errstate(over="ignore"):
+            shared = (total[inner - span + 1 + LENGTH] - total[inner]) * down[inner]
+            key = mix(mix(shared) + mix(cls[of].view(U) + part.astype(U) * U(0x9E3779B97F4A7C15) + U(span)))
+            whole = mix((total[e] - total[a]) * down[a] + windows.astype(U))
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(text[of]), pa.array(lo[of] + first), pa.array(windows.astype(np.int32)), pa.array(np.zeros(len(of), bool))], ["class", "whole", "text", "lo", "n", "again"])
+
+    for b in batches:
+        run, size = [], 0
+        for cls, key, lo, seg in zip(*(c.to_pylist() for c in b.columns)):
+            run.append((cls, key, lo, len(seg) - LENGTH + 1, seg))
+            size += len(seg)
+            if size >= PIECE:
+                yield parts(run)
+                run, size = [], 0
+        if run:
+            yield parts(run)
 
 
 def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -364,13 +403,32 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     alone = rows.filter(F.length("t") >= LENGTH).join(checked(others), "id", "left_anti")
     dealt = cut(alone.select("text", "t").mapInArrow(_dealt, "class long, whole long, text long, lo long, n int, again boolean"), f"{work}/dealt")
     met = dealt.filter("class is null")
-    apart = dealt.filter("class is not null").repartition("class").sortWithinPartitions("class", "whole", "text", "lo")
-    segs = cut(apart.mapInArrow(_classes, "class long, text long, lo long, n int, multi boolean, sorts boolean, large boolean"), f"{work}/segs")
+    most, found_schema = LARGE, "class long, text long, lo long, n int, multi boolean, sorts boolean, large boolean"
+
+    def classes(parts, name):
+        parts = parts.repartition("class").sortWithinPartitions("class", "whole", "text", "lo")
+        return cut(parts.mapInArrow(lambda it: _classes(it, most), found_schema), f"{work}/{name}")
+
+    def located(segs, source):
+        wanted = segs.groupBy("text").agg(F.collect_list(F.struct("class", "lo", "n", "multi", "large")).alias("segs"))
+        return source.join(wanted, "text").mapInArrow(_bytes, "class long, text long, lo long, multi boolean, large boolean, seg binary")
+
+    segs = classes(dealt.filter("class is not null"), "segs")
     whole = segs.filter("multi").select("text", "lo", "n").unionByName(met.select("text", "lo", "n"))
+    held = located(segs.filter("sorts"), alone.select("text", F.lit(0).cast("long").alias("base"), "t"))
+    kept = []
+    for span in RANGES:
+        if not segs.filter("sorts and large").limit(1).count():
+            break
+        held = cut(held, f"{work}/held{span}")  # the bytes of large classes are read again
+        kept.append(held.filter("not large"))
+        held = held.filter("large")
+        segs = classes(held.select("class", "text", "lo", "seg").mapInArrow(lambda it, span=span: _dealt_again(it, span), "class long, whole long, text long, lo long, n int, again boolean"), f"segs{span}")
+        whole = whole.unionByName(segs.filter("multi").select("text", "lo", "n"))
+        held = located(segs.filter("sorts"), held.select("text", F.col("lo").alias("base"), F.col("seg").alias("t")))
+    # What is left large after the last range is one window's copies, unless hashes clash.
+    fetched = functools.reduce(DataFrame.unionByName, kept, held).drop("large")
     whole = whole.select("text", F.col("lo").alias("begin"), (F.col("lo") + F.col("n") + LENGTH - 1).alias("end"))
-    wanted = segs.filter("sorts")
-    wanted = wanted.groupBy("text").agg(F.collect_list(F.struct("class", "lo", "n", "multi", "large")).alias("segs"))
-    fetched = alone.select("text", "t").join(wanted, "text").mapInArrow(_bytes, "class long, text long, lo long, multi boolean, seg binary")
     fetched = fetched.repartition("class").sortWithinPartitions("class")
     found = fetched.mapInArrow(_sort_classes, "text long, begin long, end long")
     spans = whole.unionByName(found).groupBy("text").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))

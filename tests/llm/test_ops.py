@@ -90,6 +90,35 @@ def test_op1_many_kinds(spark, monkeypatch):
     assert rows(suffix.repeated_spans(d), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(((t[0], *b) for t, b in zip(texts, brute_removed([t[1] for t in texts]))), key=repr)
 
 
+def test_suffix_array_many_names():
+    names = np.random.default_rng(4).permutation((1 << 20) + 50) + 1
+    assert (suffix.suffix_array(names) == np.argsort(names)).all()
+
+
+def test_op1_class_beyond_one_sort(spark):
+    """25,000 texts around one gram of a small hash: most unlike each other, some alike in pairs, some in all but their ends."""
+    rng = np.random.default_rng(5)
+    letters = rng.integers(97, 123, 400_000).astype(np.uint8)
+    first, count, least, _ = suffix.segments(letters, np.array([0, len(letters)]))
+    best = int(np.argmin(least))
+    gram = int(first[best]) + suffix._minimizer(letters[first[best] : first[best] + count[best] + 199])
+    gram = letters[gram : gram + 32].tobytes()
+    own = rng.integers(97, 123, (25_000, 220)).astype(np.uint8)
+    texts = [o[:110].tobytes() + gram + o[110:].tobytes() for o in own]
+    for i in range(0, 3000, 2):
+        texts[i + 1] = texts[i + 1][:20] + texts[i][20:225] + texts[i + 1][225:]
+    for i in range(3000, 9000):
+        texts[i] = texts[i][:15] + texts[3000][15:225] + texts[i][225:]
+    seen = Counter(hash(t[i : i + 200]) for t in texts for i in range(len(t) - 199))
+    want = []
+    for n, t in enumerate(texts):
+        gone = {j for i in range(len(t) - 199) if seen[hash(t[i : i + 200])] > 1 for j in range(i, i + 200)}
+        kept = bytes(c for j, c in enumerate(t) if j not in gone)
+        want.append((n, len(t), len(gone), sum(j - 1 not in gone for j in gone), hashlib.sha256(kept).hexdigest()))
+    d = spark.createDataFrame([(n, t.decode()) for n, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    assert rows(suffix.repeated_spans(d), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want, key=repr)
+
+
 def test_op1_large_class(spark, monkeypatch):
     rng = np.random.default_rng(1)
     core = "".join(chr(97 + i) for i in rng.integers(0, 26, 260))
