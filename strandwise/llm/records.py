@@ -9,13 +9,21 @@ fetch records in any order.
 
 A task writes files under names of its own, and only the index rows of tasks
 that succeed are kept; what a lost or repeated attempt wrote is never listed.
+
+A Python worker keeps its tokenizer and known words from task to task, and lets
+go of them when it hasn't written for IDLE_SECONDS: Spark gives the same worker
+to whatever runs next.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import json
 import os
 import struct
+import threading
 import uuid
 import zlib
 from itertools import repeat
@@ -32,6 +40,7 @@ from .common import cut
 MAGIC = b"TOKREC01"
 FILE_BYTES = 64 << 20
 MEMO_WORDS = 800_000
+IDLE_SECONDS = 2.0
 INDEX = "id long, file string, part int, roll int, offset long, length long, before long, n_tokens long"
 
 
@@ -161,6 +170,38 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+_idle: threading.Timer | None = None
+
+
+def _trim() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _release() -> None:
+    _encoders.clear()
+    _trim()
+
+
+@contextlib.contextmanager
+def _encoder(path: str):
+    """This worker's encoder for the time of a task."""
+    global _idle
+    if _idle is not None:
+        _idle.cancel()
+    coder = _encoders.get(path)
+    if coder is None:
+        coder = _encoders[path] = Encoder(path)
+        _trim()  # of what parsing the file took
+    try:
+        yield coder
+    finally:
+        _idle = threading.Timer(IDLE_SECONDS, _release)
+        _idle.daemon = True
+        _idle.start()
 
 
 def _blocks(texts: pa.Array, size: int = 1 << 22):
@@ -175,10 +216,14 @@ def _blocks(texts: pa.Array, size: int = 1 << 22):
 
 
 def _write(batches, folder: str, tokenizer: str, end_id: int):
+    with _encoder(tokenizer) as coder:
+        yield from _written(batches, folder, coder, end_id)
+
+
+def _written(batches, folder: str, coder: Encoder, end_id: int):
     from pyarrow.fs import FileSystem
 
     fs, root = FileSystem.from_uri(folder)
-    coder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, Encoder(tokenizer))
     end = np.array([end_id], coder.type).tobytes()
     part, own, roll, out, at, before, name, made = TaskContext.get().partitionId(), uuid.uuid4().hex, 0, None, 0, 0, "", []
     try:

@@ -4,6 +4,7 @@ empty and long texts, copies, ties and columns of clashing names."""
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -308,6 +309,17 @@ def test_op6_damage(spark, tmp_path):
         records.read_records(spark, folder).collect()
 
 
+def test_op6_workers_let_go(spark, docs):
+    """Workers that wrote records give up the tokenizer and the known words soon after, not at their end."""
+    from pyarrow import RecordBatch, array
+
+    d = spark.createDataFrame([(r[0], r[1]) for r in docs], "doc_id long, text string").repartition(8)
+    assert records.write_records(d, shared_dir(spark), queries.vocabulary(), 2).count() == len(docs)
+    held = lambda it: (RecordBatch.from_arrays([array([len(records._encoders)] * b.num_rows)], ["n"]) for b in it)
+    time.sleep(4)
+    assert {r["n"] for r in spark.range(0, 64, 1, 8).mapInArrow(held, "n long").collect()} == {0}
+
+
 def test_op7(frame, docs):
     train = [d for d in docs if d[0] is not None and zlib.crc32(str(d[0]).encode()) % 10]
     count = Counter(w for d in train for w in [*WORD.findall(lower(d[1] or "")), None])
