@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +62,22 @@ def cut(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def trim() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(batches):
+    """``batches`` of a function for mapInArrow; at their end the worker, which
+    Spark keeps for whatever runs next, gives back the memory they took."""
+    yield from batches
+    del batches
+    trim()
+
+
 #: Bytes up to which a side goes to every executor.
 BROADCAST_BYTES = 32 << 20
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked, components, cut, shared_dir, spread
+from .common import checked, components, cut, shared_dir, spread, trimmed
 from .textvec import U, runs, shingle_sets, splitmix
 
 PERMUTATIONS, ROWS = 24, 3
@@ -122,7 +122,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int,
     copies, and as component and first_h the id and h of the first row of its
     component, by id (nulls last), then h."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("binary").alias("t"))
-    sigs = cut(texts.mapInArrow(lambda it: _signatures(it, k), "id long, h long, n long, d1 long, d2 long, bands array<long>"), f"{work}/sigs")
+    sigs = cut(texts.mapInArrow(lambda it: trimmed(_signatures(it, k)), "id long, h long, n long, d1 long, d2 long, bands array<long>"), f"{work}/sigs")
     key = ["n", "d1", "d2"]
     first = F.min(F.struct(F.col("id").isNull(), "id", "h")).alias("first")
     grouped = sigs.filter("n > 0").groupBy(*key).agg(first, F.count("*").alias("copies"), F.first("bands").alias("bands"))
@@ -143,7 +143,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int,
     wanted = classes.select("node", "id", "h").join(members.select("node").distinct(), "node", "left_semi")
     wanted = cut(wanted.select("node", F.col("id").alias("_id"), F.col("h").alias("_h")), f"{work}/wanted")
     read = texts.join(checked(wanted), F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("node", "t")
-    sets = cut(read.mapInArrow(lambda it: _sets(it, k), "node long, items array<long>").dropDuplicates(["node"]), f"{work}/sets")
+    sets = cut(read.mapInArrow(lambda it: trimmed(_sets(it, k)), "node long, items array<long>").dropDuplicates(["node"]), f"{work}/sets")
     t = F.lit((100 - percent) / (100 + percent))
     size = F.col("n_a") + F.col("n_b")
     linked = (100 - percent) * size >= (100 + percent) * F.size("d")

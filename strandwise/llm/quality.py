@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .common import trimmed
 from .textvec import U, mix, runs, word_hashes
 
 DIMS_LOG2, MAX_ROWS, BINS = 20, 12_000, 24
@@ -128,7 +129,7 @@ def train(docs: DataFrame, graded: DataFrame, id_col: str = "doc_id", text_col:
     picked = picked.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)  # max_rows rows
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("t"))
     rows = texts.join(F.broadcast(picked), "_id").groupBy("_id", "grade").agg(F.min_by("t", F.xxhash64("t")).alias("t"))
-    got = rows.orderBy("_id").select("grade", "t").mapInArrow(_featured, "grade int, features array<int>").toArrow()
+    got = rows.orderBy("_id").select("grade", "t").mapInArrow(lambda it: trimmed(_featured(it)), "grade int, features array<int>").toArrow()
     if not got.num_rows:
         return np.zeros(1 << DIMS_LOG2, np.float32), np.zeros(1)
     grades = got.column("grade").to_numpy()
@@ -155,7 +156,7 @@ def scored(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.struct("*").alias("doc"))
     schema = StructType([rows.schema["doc"], *StructType.fromDDL("score double, expected_grade double, tails array<double>")])
-    return rows.mapInArrow(lambda it: _scored(it, shared, text_col), schema)
+    return rows.mapInArrow(lambda it: trimmed(_scored(it, shared, text_col)), schema)
 
 
 def score(docs: DataFrame, model, text_col: str = "text") -> DataFrame:

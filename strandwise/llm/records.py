@@ -18,8 +18,6 @@ to whatever runs next.
 from __future__ import annotations
 
 import contextlib
-import ctypes
-import gc
 import json
 import os
 import struct
@@ -35,11 +33,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, trim
 
 MAGIC = b"TOKREC01"
 FILE_BYTES = 64 << 20
-MEMO_WORDS = 800_000
+MEMO_WORDS = 300_000
 IDLE_SECONDS = 2.0
 INDEX = "id long, file string, part int, roll int, offset long, length long, before long, n_tokens long"
 
@@ -87,9 +85,9 @@ class Encoder:
     """Ids of whole texts from the tokenizers library.
 
     Where the tokenizer is ``separable``, each new run between spaces and line
-    feeds is encoded once by the library and remembered, up to MEMO_WORDS runs;
-    a block's runs are looked up once for each distinct one, and their ids
-    gathered by numpy. To have fewer distinct runs, signs behind a letter are set
+    feeds is encoded once by the library and remembered, up to MEMO_WORDS runs,
+    of which those met in several blocks then stay; a block's runs are looked up
+    once for each distinct one, and their ids gathered by numpy. To have fewer distinct runs, signs behind a letter are set
     apart and A-Z lowered where that can't change an id: the first by the
     tokenizer's own pattern; the second where it lowers by itself, the block has
     no combining marks, and no special token comes to be. Any other tokenizer
@@ -125,6 +123,25 @@ class Encoder:
         self.memo: dict[str, int] = {"": 0}
         self.flat, self.used = np.zeros(1 << 12, self.type), 0
         self.ends = np.zeros(1 << 12, np.int64)  # word i has the ids from ends[i] to ends[i + 1]
+        self.met = np.zeros(1 << 12, np.int32)  # blocks in which word i was known already
+
+    def _keep_met(self) -> None:
+        """Forgets the words that were met in one block only, or all where these are few."""
+        known = len(self.memo)
+        keep = self.met[:known] > 0
+        keep[0] = True
+        if keep.sum() > MEMO_WORDS // 2:
+            return self._forget()
+        at, sizes = np.flatnonzero(keep), np.diff(self.ends[: known + 1])[keep]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        flat = self.flat[np.repeat(self.ends[at] - ends[:-1], sizes) + np.arange(ends[-1])]
+        words = [w for w, k in zip(self.memo, keep.tolist()) if k]
+        self._forget()
+        self.memo = dict(zip(words, range(len(words))))
+        self.flat = np.concatenate((flat, self.flat))
+        self.ends = np.concatenate((ends, np.zeros(len(ends), np.int64)))
+        self.met = np.zeros(len(self.ends), np.int32)
+        self.used = len(flat)
 
     def _learn(self, new: list[str]) -> None:
         for at in range(0, len(new), 2000):
@@ -137,6 +154,7 @@ class Encoder:
                 self.flat = np.concatenate((self.flat, np.zeros(len(self.flat), self.type)))
             while known + len(part) + 1 > len(self.ends):
                 self.ends = np.concatenate((self.ends, np.zeros(len(self.ends), np.int64)))
+                self.met = np.concatenate((self.met, np.zeros(len(self.ends) - len(self.met), np.int32)))
             self.flat[self.used : self.used + n] = got.ids
             self.ends[known + 1 : known + len(part) + 1] = self.used + np.searchsorted(first, starts[1:])
             self.used += n
@@ -155,9 +173,10 @@ class Encoder:
         place = find()
         new = np.flatnonzero(place < 0)
         if len(self.memo) + len(new) > MEMO_WORDS:
-            self._forget()
+            self._keep_met()
             place = find()
             new = np.flatnonzero(place < 0)
+        self.met[place[place >= 0]] += 1
         place[new] = np.arange(len(self.memo), len(self.memo) + len(new))
         self._learn([words[i] for i in new.tolist()])
         begin, size = self.ends[place], self.ends[place + 1] - self.ends[place]
@@ -173,17 +192,9 @@ _encoders: dict[str, Encoder] = {}
 _idle: threading.Timer | None = None
 
 
-def _trim() -> None:
-    """Gives freed memory back to the system, where the C library can."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(AttributeError, OSError):
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def _release() -> None:
     _encoders.clear()
-    _trim()
+    trim()
 
 
 @contextlib.contextmanager
@@ -195,7 +206,7 @@ def _encoder(path: str):
     coder = _encoders.get(path)
     if coder is None:
         coder = _encoders[path] = Encoder(path)
-        _trim()  # of what parsing the file took
+        trim()  # of what parsing the file took
     try:
         yield coder
     finally:

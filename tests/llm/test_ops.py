@@ -320,6 +320,24 @@ def test_op6_workers_let_go(spark, docs):
     assert {r["n"] for r in spark.range(0, 64, 1, 8).mapInArrow(held, "n long").collect()} == {0}
 
 
+def test_op6_words_that_recur_stay(docs):
+    from pyarrow import array
+
+    coder = records.Encoder(queries.vocabulary())
+    texts = [r[1] for r in docs if isinstance(r[1], str)]
+
+    def right(some):
+        ids, ends = coder.encode(array(some))
+        plain = [e.ids for e in coder.lib.encode_batch(some, add_special_tokens=False)]
+        return [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == plain
+
+    assert right(texts[:100]) and right(texts[:30])
+    known = len(coder.memo)
+    coder._keep_met()
+    assert 1 < len(coder.memo) < known
+    assert right(texts[:30]) and right(texts)
+
+
 def test_op7(frame, docs):
     train = [d for d in docs if d[0] is not None and zlib.crc32(str(d[0]).encode()) % 10]
     count = Counter(w for d in train for w in [*WORD.findall(lower(d[1] or "")), None])
