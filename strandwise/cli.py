@@ -12,11 +12,12 @@ from .config import MODES, STRANDEDNESS, DetectConfig, MergeConfig
 DETECT_OFF = {"keep_duplicates": "--keep-duplicates", "emit_bedgraph": "--emit-bedgraph", "emit_coverage_store": "--emit-coverage-store"}
 DETECT_ON = {"count_secondary": "--no-count-secondary", "stranded_masking": "--no-stranded-masking", "emit_bed": "--no-bed", "emit_multiqc": "--no-multiqc"}
 
-#: Options whose names differ from their fields', and those with a choice of values.
+#: Options whose names differ from their fields', numbers without a default, and those with a choice of values.
 NAMED = {
     "gdna_max_length_ratio_diff": "--gdna-max-strand-length-ratio-diff", "gdna_min_correlation": "--gdna-min-profile-correlation",
     "gdna_min_depth_ratio": "--gdna-min-depth-balance", "gdna_max_cv": "--gdna-flat-cv-threshold",
 }
+DETECT_INT = ("strand_infer_max_reads", "strand_infer_max_exons")
 CHOICES = {"annotation_mode": MODES, "library_strandedness": STRANDEDNESS}
 
 
@@ -30,7 +31,7 @@ def parser() -> argparse.ArgumentParser:
         elif f.name in DETECT_ON:
             p.add_argument(DETECT_ON[f.name], dest=f.name, action="store_false")
         else:
-            kind = type(f.default) if f.default is not None else str
+            kind = type(f.default) if f.default is not None else int if f.name in DETECT_INT else str
             p.add_argument(NAMED.get(f.name, "--" + f.name.replace("_", "-")), dest=f.name, type=kind, choices=CHOICES.get(f.name), default=f.default, required=f.name in ("bam", "gtf", "out_prefix"))
     p.add_argument("--threads", type=int, default=4)
     p = sub.add_parser("merge")

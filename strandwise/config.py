@@ -39,8 +39,8 @@ class DetectConfig:
     nearest_feature_window: int = 10_000
     stranded_masking: bool = True
     library_strandedness: str = "auto"
-    strand_infer_max_reads: int = 200_000
-    strand_infer_max_exons: int = 5_000
+    strand_infer_max_reads: int | None = None
+    strand_infer_max_exons: int | None = None
     strand_infer_min_confidence: float = 0.8
     gdna_min_dual_strand_fraction: float = 0.6
     gdna_max_length_ratio_diff: float = 0.25

@@ -584,3 +584,10 @@ def test_votes_are_counted_as_pairs_are(spark):
     finally:
         strandedness.overlap_join = old
     assert sum(p.count() for p in pairs) == 0  # no pair of ordinary rows is made
+
+
+def test_strandedness_takes_every_exon(spark):
+    exons = spark.range(6_000).select(F.lit("c").alias("chrom"), (F.col("id") * 100).alias("s"), (F.col("id") * 100 + 60).alias("e"), F.lit("+").alias("strand"))
+    assert strandedness.sampled_exons(exons).count() == 6_000
+    reads = exons.select("chrom", "s", "e", F.lit(0).alias("flag"))
+    assert strandedness.resolve(reads, exons, DetectConfig())["n_forward"] == 6_000
