@@ -19,6 +19,14 @@ def _on(a: str, b: str, keys: list[str]) -> Column:
     return cond
 
 
+def _same(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
+    """Equal values, nulls included; the right side's names begin with ``_``."""
+    cond = F.lit(True)
+    for c in columns:
+        cond = cond & left[c].eqNullSafe(right[f"_{c}"])
+    return cond
+
+
 def binned(df: DataFrame, width: int, s: str = "s", e: str = "e") -> DataFrame:
     """A row for every bin that [s, e) touches; an empty interval has one bin."""
     last = F.floor((F.greatest(F.col(e) - 1, F.col(s))) / width)
@@ -30,14 +38,16 @@ def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], width: int = 10_00
     ``b`` (b_*), keys once. ``how='left'`` keeps rows of ``a`` without partner."""
     left = a.select(*keys, *[F.col(c).alias(f"a_{c}") for c in a.columns if c not in keys])
     right = b.select(*keys, *[F.col(c).alias(f"b_{c}") for c in b.columns if c not in keys])
-    if how == "left":
-        left = left.withColumn("_row", F.monotonically_increasing_id())
     x = binned(left, width, "a_s", "a_e")
     y = binned(right, width, "b_s", "b_e")
     hit = x.join(y, [*keys, "bin"]).filter((F.col("a_s") < F.col("b_e")) & (F.col("a_e") > F.col("b_s")) & (F.floor(F.greatest("a_s", "b_s") / width) == F.col("bin"))).drop("bin")
     if how == "inner":
         return hit
-    return left.join(hit.drop(*keys, *[c for c in left.columns if c not in ("_row", *keys)]), "_row", "left").drop("_row")
+    # Whether a row has a partner depends on its place alone; ids of rows could differ from one evaluation to the next.
+    place = [*keys, "a_s", "a_e"]
+    met = hit.select(*[F.col(c).alias(f"_{c}") for c in place]).distinct()
+    lonely = left.join(met, _same(left, met, place), "left_anti")
+    return hit.unionByName(lonely, allowMissingColumns=True)
 
 
 def islands(runs: DataFrame, keys: list[str], max_gap: int = 0, tile: int | None = 1_000_000) -> DataFrame:
@@ -76,28 +86,31 @@ def nearest(a: DataFrame, b: DataFrame, keys: list[str], order: list[str], tile:
 
     The best partner overlaps, or has the greatest end at or before a.s, or the
     least start at or after a.e. Overlaps come from the range join; the two
-    others from running extremes over both tables' rows, kept as structs.
+    others from running extremes over both tables' rows, kept as structs. All of
+    it is found for places, as ids of rows could differ between evaluations.
     """
     own = [c for c in b.columns if c not in keys]
     thing = F.struct(*[F.col(c) for c in own])
-    rows = a.withColumn("_row", F.monotonically_increasing_id())
-    hits = overlap_join(rows.select(*keys, "s", "e", "_row"), b, keys).withColumn("near", F.struct(*[F.col(f"b_{c}").alias(c) for c in own]))
-    hits = hits.select(F.col("a__row").alias("_row"), "near", F.lit(0).cast("long").alias("distance"))
+    rows = a.select(*keys, "s", "e").distinct()
+    hits = overlap_join(rows, b, keys).withColumn("near", F.struct(*[F.col(f"b_{c}").alias(c) for c in own]))
+    hits = hits.select(*keys, F.struct(F.col("a_s").alias("s"), F.col("a_e").alias("e")).alias("_row"), "near", F.lit(0).cast("long").alias("distance"))
+    rows = rows.select(*keys, F.struct("s", "e").alias("_row"))
     # Sides: one candidate for each point, as-of by end (before) and by start (behind).
     ends = b.select(*keys, F.col("e").alias("pos"), thing.alias("near")).groupBy(*keys, "pos").agg(F.min_by("near", F.struct(*[F.col(f"near.{c}") for c in order])).alias("near"))
     starts = b.select(*keys, F.col("s").alias("pos"), thing.alias("near")).groupBy(*keys, "pos").agg(F.min_by("near", F.struct(*[F.col(f"near.{c}") for c in order])).alias("near"))
-    before = _as_of(rows.select(*keys, F.col("s").alias("pos"), "_row"), ends, keys, forward=False)
-    behind = _as_of(rows.select(*keys, F.col("e").alias("pos"), "_row"), starts, keys, forward=True)
-    sides = before.withColumn("distance", F.col("pos") - F.col("near.e")).unionByName(behind.withColumn("distance", F.col("near.s") - F.col("pos"))).select("_row", "near", "distance")
-    best = hits.unionByName(sides.filter("near is not null")).groupBy("_row").agg(F.min_by(F.struct("near", "distance"), F.struct("distance", *[F.col(f"near.{c}") for c in order])).alias("_best"))
-    return rows.join(best, "_row", "left").select(*a.columns, F.col("_best.near").alias("near"), F.coalesce("_best.distance", F.lit(-1)).cast("long").alias("distance"))
+    before = _as_of(rows.select(*keys, F.col("_row.s").alias("pos"), "_row"), ends, keys, forward=False)
+    behind = _as_of(rows.select(*keys, F.col("_row.e").alias("pos"), "_row"), starts, keys, forward=True)
+    sides = before.withColumn("distance", F.col("pos") - F.col("near.e")).unionByName(behind.withColumn("distance", F.col("near.s") - F.col("pos"))).select(*keys, "_row", "near", "distance")
+    best = hits.unionByName(sides.filter("near is not null")).groupBy(*keys, "_row").agg(F.min_by(F.struct("near", "distance"), F.struct("distance", *[F.col(f"near.{c}") for c in order])).alias("_best"))
+    best = best.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_row.s").alias("_s"), F.col("_row.e").alias("_e"), "_best")
+    return a.join(best, _same(a, best, [*keys, "s", "e"]), "left").select(*[a[c] for c in a.columns], F.col("_best.near").alias("near"), F.coalesce("_best.distance", F.lit(-1)).cast("long").alias("distance"))
 
 
 def _as_of(points: DataFrame, marks: DataFrame, keys: list[str], forward: bool, tile: int = 1_000_000) -> DataFrame:
     """The last mark at or before (or first at or after) each point. Within a
     tile a window finds it; tiles without one take it from the tiles' own table."""
     side = F.col("pos") if not forward else -F.col("pos")
-    rows = points.select(*keys, "pos", "_row", F.lit(None).cast(marks.schema["near"].dataType).alias("near")).unionByName(marks.select(*keys, "pos", F.lit(None).cast("long").alias("_row"), "near"))
+    rows = points.select(*keys, "pos", "_row", F.lit(None).cast(marks.schema["near"].dataType).alias("near")).unionByName(marks.select(*keys, "pos", F.lit(None).cast(points.schema["_row"].dataType).alias("_row"), "near"))
     rows = rows.withColumn("_side", side).withColumn("_tile", F.floor(F.col("_side") / tile))
     # A mark at the point's own position counts: marks sort first.
     order = Window.partitionBy(*keys, "_tile").orderBy("_side", F.col("_row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)

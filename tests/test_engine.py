@@ -591,3 +591,24 @@ def test_strandedness_takes_every_exon(spark):
     assert strandedness.sampled_exons(exons).count() == 6_000
     reads = exons.select("chrom", "s", "e", F.lit(0).alias("flag"))
     assert strandedness.resolve(reads, exons, DetectConfig())["n_forward"] == 6_000
+
+
+def test_nearest_and_left_joins_keep_rows_apart_when_read_again(spark):
+    """A source that gives its rows in another order at each evaluation, as shuffles of large tables do."""
+    spans = [("c", 100 * i, 100 * i + 10) for i in range(40)] + [("c", 100, 110), ("d", 5, 9), (None, 1, 2)]
+
+    def mixed(batches):
+        import random
+
+        import pandas as pd
+
+        rows = [r for b in batches for r in b.values.tolist()]
+        random.shuffle(rows)
+        yield pd.DataFrame(rows, columns=["chrom", "s", "e"]).astype({"s": "int64", "e": "int64"})
+
+    a = spark.createDataFrame(spans, "chrom string, s long, e long").coalesce(1).mapInPandas(mixed, "chrom string, s long, e long")
+    b = spark.createDataFrame([("c", 100 * i + 12, 100 * i + 20, f"g{i}") for i in range(40)], "chrom string, s long, e long, gene_id string")
+    got = nearest(a, b, ["chrom"], ["s"]).select("chrom", "s", "near.gene_id", "distance").collect()
+    assert sorted(map(str, got)) == sorted(str(Row(chrom=c, s=s, gene_id=f"g{s // 100}" if c == "c" else None, distance=2 if c == "c" else -1)) for c, s, _ in spans)
+    left = overlap_join(a, b.withColumn("s", F.col("s") - 5).filter("gene_id <> 'g1'"), ["chrom"], how="left").select("chrom", "a_s", "b_gene_id").collect()
+    assert sorted(map(str, left)) == sorted(str(Row(chrom=c, a_s=s, b_gene_id=f"g{s // 100}" if c == "c" and s != 100 else None)) for c, s, _ in spans)
