@@ -23,11 +23,12 @@ def overlaps(regions: DataFrame, features: DataFrame, stranded: bool = False, ke
     return hits.filter(~differ) if stranded else hits
 
 
-def annotated(regions: DataFrame, features: DataFrame, window: int = 10_000, stranded: bool = False, id_col: str = "consensus_id") -> DataFrame:
+def annotated(regions: DataFrame, features: DataFrame, window: int = 10_000, stranded: bool = False, id_col: str = "consensus_id", most_ids: int | None = MAX_IDS) -> DataFrame:
     """One row a region: id, the eight columns and types_map. Features that
     overlap, or else the nearest one closer than ``window`` (the bound itself is
     too far; one that only touches has distance 0). Without one nearest is NA, its
-    distance -1; with overlaps they are NA and 0."""
+    distance -1; with overlaps they are NA and 0. Of more ids than ``most_ids`` the
+    text has the first ones and the number left out; None lists all."""
     rid = F.col(f"a_{id_col}").alias(id_col)
     hits = overlaps(regions, features, stranded, id_col=id_col)
     types = hits.groupBy(rid, F.col("b_ftype").alias("ftype")).agg(F.count("*").alias("c"))
@@ -43,7 +44,9 @@ def annotated(regions: DataFrame, features: DataFrame, window: int = 10_000, str
     d = gap(F.col("a__s"), F.col("a__e"), F.col("b_s"), F.col("b_e"))
     near = near.withColumn("d", d).groupBy(rid).agg(F.min_by(F.struct(shown(F.col("b_ftype"), F.col("b_fid")).alias("nearest"), F.col("d").alias("nearest_distance")), F.struct("d", "b_s", "b_e", "b_ord")).alias("x"))
     ids = F.filter(F.transform("f", lambda x: x["fid"]), lambda i: F.coalesce(i, F.lit("")) != "")
-    shown_ids = F.when(F.size(ids) > MAX_IDS, F.concat(F.array_join(F.slice(ids, 1, MAX_IDS), ";"), F.lit(";+"), (F.size(ids) - MAX_IDS).cast("string"), F.lit("_more"))).otherwise(F.array_join(ids, ";"))
+    shown_ids = F.array_join(ids, ";")
+    if most_ids is not None:
+        shown_ids = F.when(F.size(ids) > most_ids, F.concat(F.array_join(F.slice(ids, 1, most_ids), ";"), F.lit(";+"), (F.size(ids) - most_ids).cast("string"), F.lit("_more"))).otherwise(shown_ids)
     genes = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.transform("f", lambda x: F.coalesce(x["genes"], F.array().cast("array<string>")))))), ",")
     full = regions.select(id_col, (F.col("e") - F.col("s")).alias("_len")).join(types, id_col, "left").join(lists, id_col, "left").join(bp, id_col, "left").join(near, id_col, "left")
     hit = F.col("n").isNotNull()

@@ -367,7 +367,7 @@ def overlay_stranded(spark, d):
   ids as (select consensus_id, string_agg(fid, ';' order by s, e, ord) ids, array_to_string(list_sort(list_distinct(flatten(list(genes)))), ',') genes from hit group by 1)
   select consensus_id, coalesce(n, 0) n, coalesce(types, 'NA') types, coalesce(ids, 'NA') ids, coalesce(bp, 0) overlap_bp, coalesce(bp, 0) / (e - s) overlap_frac, coalesce(genes, 'NA') genes from reg left join bp using (consensus_id) left join ty using (consensus_id) left join ids using (consensus_id)""")
 def overlay_strings(spark, d):
-    return overlay.annotated(places(spark, d), features(spark, d)).select("consensus_id", "n", "types", "ids", "overlap_bp", "overlap_frac", "genes")
+    return overlay.annotated(places(spark, d), features(spark, d), most_ids=None).select("consensus_id", "n", "types", "ids", "overlap_bp", "overlap_frac", "genes")
 
 
 @query(f"""with {_REG}, {_HIT}, nn as (select r.consensus_id, arg_min(ftype || ':' || fid, (greatest(f.s - r.e, r.s - f.e, 0), f.s, f.e, ord)) nearest, min(greatest(f.s - r.e, r.s - f.e, 0)) d from reg r join feat f on r.chrom_key = f.chrom_key and r.s - 400 < f.e and r.e + 400 > f.s where r.consensus_id not in (select consensus_id from hit) group by 1)

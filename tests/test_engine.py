@@ -612,3 +612,12 @@ def test_nearest_and_left_joins_keep_rows_apart_when_read_again(spark):
     assert sorted(map(str, got)) == sorted(str(Row(chrom=c, s=s, gene_id=f"g{s // 100}" if c == "c" else None, distance=2 if c == "c" else -1)) for c, s, _ in spans)
     left = overlap_join(a, b.withColumn("s", F.col("s") - 5).filter("gene_id <> 'g1'"), ["chrom"], how="left").select("chrom", "a_s", "b_gene_id").collect()
     assert sorted(map(str, left)) == sorted(str(Row(chrom=c, a_s=s, b_gene_id=f"g{s // 100}" if c == "c" and s != 100 else None)) for c, s, _ in spans)
+
+
+def test_overlay_strings_list_every_id(spark, tmp_path):
+    from strandwise.plans import queries
+
+    spark.createDataFrame([(331 * 0, 2, "A", 1.0, "BUILDING")] + [(500_000 * i, 2, "A", 1.0, "BUILDING") for i in range(1, 25)], "c_custkey long, c_nationkey int, c_name string, c_acctbal double, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(0, 0, "O", 1.0, "1-URGENT")], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    got = queries.overlay_strings(spark, str(tmp_path)).first()
+    assert got["n"] == 25 and got["ids"] == ";".join(f"F{500_000 * i}" for i in range(25))
