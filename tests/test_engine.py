@@ -16,7 +16,7 @@ from strandwise.operators import classify, consensus, context, coverage, overlay
 from strandwise.operators.intervals import islands, nearest, overlap_join, union_length
 from strandwise.operators.metrics import region_metrics
 from strandwise.plans import extract, merge, report
-from strandwise.sources import bam, text
+from strandwise.sources import bam, sinks, text
 
 KEYS = ["chrom"]
 SEG = "chrom string, tile long, s long, e long, plus long, minus long, multi long, pmask long, mmask long, exon long"
@@ -621,3 +621,24 @@ def test_overlay_strings_list_every_id(spark, tmp_path):
     spark.createDataFrame([(0, 0, "O", 1.0, "1-URGENT")], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
     got = queries.overlay_strings(spark, str(tmp_path)).first()
     assert got["n"] == 25 and got["ids"] == ";".join(f"F{500_000 * i}" for i in range(25))
+
+
+def test_files_are_sorted_and_joined_from_many_parts(spark, tmp_path, monkeypatch):
+    rows = spark.range(5_000, numPartitions=6).select((F.col("id") * 7919 % 5_000).alias("k")).withColumn("value", F.concat(F.lit("v"), F.col("k").cast("string")))
+    lines, most, join = [f"v{i}" for i in range(5_000)], [], sinks._one_file
+
+    def watched(*args):
+        most.extend(len(f.read_text().splitlines()) for f in tmp_path.glob("*.parts/part-*"))
+        return join(*args)
+
+    monkeypatch.setattr(sinks, "_one_file", watched)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sinks.write_lines(rows, str(tmp_path / "a.txt"), ["k"], ["h1", "h2"])
+        assert max(most) < 5_000  # no task writes all
+        assert (tmp_path / "a.txt").read_text().splitlines() == ["h1", "h2", *lines] and [f.name for f in tmp_path.iterdir() if f.name[0] != "."] == ["a.txt"]
+        merged = sinks.write_merged(got, rows.filter("k < 100"), str(tmp_path / "m.txt"), ["k"], "# mark")
+        assert (tmp_path / "m.txt").read_text().splitlines() == ["h1", "h2", *lines, "# mark", *lines[:100]]
+        assert sinks.write_lines(rows.limit(0), merged, ["k"]) and (tmp_path / "m.txt").read_text() == ""
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
