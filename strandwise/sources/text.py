@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import attributes, normalise_chrom
+from ..operators.consensus import shared_dir, written
 
 def ord_column():
     return F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row")).alias("ord")
@@ -185,11 +186,17 @@ def candidate_tables(spark: SparkSession, paths: tuple[str, ...], names: tuple[s
         lacking -= set(rows.columns)
         if lacking:
             raise ValueError(f"{path} lacks columns: {', '.join(sorted(lacking))}")
-        rows = rows.select("*", ord_column()).withColumn("sample", F.lit(name)).withColumn("sample_idx", F.lit(k))
+        rows = rows.select("*", ord_column(), F.col("_metadata.file_path").alias("_file")).withColumn("sample", F.lit(name)).withColumn("sample_idx", F.lit(k))
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     out = out.withColumn("s", F.col("start").try_cast("long") - 1).withColumn("e", F.col("end").try_cast("long"))
-    # Ids in input order. The tables have a row for each region, so one sorted window will do.
-    return out.withColumn("id", F.row_number().over(Window.orderBy("sample_idx", "ord")).cast("long")).drop("ord", "start", "end", "sample_idx")
+    # Ids in input order: a row's place in its split after the rows of earlier splits. As splits can differ between evaluations, the rows are kept first.
+    out = written(out, f"{shared_dir(spark)}/candidates")
+    split = ["sample_idx", "_file", F.col("ord.at").alias("_at")]
+    splits = out.groupBy(*split).agg(F.min("ord.row").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("sample_idx", "_at", "_first")) - F.col("_n")  # a row for each split
+    splits = splits.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(("sample_idx", "_file", "_at"))], "_first", before.alias("_before"))
+    out = out.join(F.broadcast(splits), (F.col("sample_idx") == F.col("_k0")) & (F.col("_file") == F.col("_k1")) & (F.col("ord.at") == F.col("_k2")))
+    return out.withColumn("id", F.col("_before") + F.col("ord.row") - F.col("_first") + 1).drop("ord", "start", "end", "sample_idx", "_file", "_first", "_before", "_k0", "_k1", "_k2")
 
 
 def sam(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

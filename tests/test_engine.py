@@ -642,3 +642,17 @@ def test_files_are_sorted_and_joined_from_many_parts(spark, tmp_path, monkeypatc
         assert sinks.write_lines(rows.limit(0), merged, ["k"]) and (tmp_path / "m.txt").read_text() == ""
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_candidate_ids_count_on_across_splits(spark, tmp_path):
+    head = "region_id\tchrom\tstart\tend\tclass\tdominant_strand"
+    for name, n in (("b", 700), ("a", 900)):
+        (tmp_path / f"{name}.tsv").write_text("\n".join([head, *[f"{name}{i}\tchr1\t{i + 1}\t{i + 9}\tx\t+" for i in range(n)]]) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = text.candidate_tables(spark, (str(tmp_path / "b.tsv"), str(tmp_path / "a.tsv")))
+        assert [r["region_id"] for r in got.select("region_id", "id").orderBy("id").collect()] == [f"b{i}" for i in range(700)] + [f"a{i}" for i in range(900)]
+        assert sorted(r["id"] for r in got.select("id").collect()) == list(range(1, 1_601))
+        assert got.select(F.spark_partition_id()).distinct().count() > 1  # no task numbers all rows
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
